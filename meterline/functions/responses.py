@@ -14,8 +14,17 @@ _BODY = "_body_variant"
 _LIST = "array<variant>"
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    Filters move below a plain column and compute its value again there; they do not move
+    below a column that is unfolded, here from an array of just the value.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _parsed(bodies: DataFrame, body: str) -> DataFrame:
-    return bodies.withColumn(_BODY, F.try_parse_json(F.col(body)))
+    return _once(bodies, _BODY, F.try_parse_json(F.col(body)))
 
 
 def _at(value: Column | str, path: str, type_name: str = "variant") -> Column:
@@ -89,7 +98,7 @@ def _vectors(bodies: DataFrame, body: str) -> DataFrame:
         .when(has("$.vectors"), _at(_BODY, "$.vectors", matrix))
         .otherwise(_at(_BODY, "$", matrix))
     )
-    return parsed.select(*_kept(bodies, body), F.col(body), vectors.alias("vectors"))
+    return _once(parsed, "vectors", vectors).drop(_BODY)
 
 
 def _is_decoded() -> Column:
@@ -144,9 +153,7 @@ def _normalised(bodies: DataFrame, body: str) -> DataFrame:
         kind == "STRING", F.array(_as_message(choice, content.try_cast("string")))
     ).when(kind.startswith("ARRAY"), F.array(_as_message(choice, joined)))
     messages = F.when(_at(_BODY, "$.messages").isNotNull(), given).otherwise(from_choice)
-    return _parsed(bodies, body).select(
-        *_kept(bodies, body), F.col(body), messages.alias("messages")
-    )
+    return _once(_parsed(bodies, body), "messages", messages).drop(_BODY)
 
 
 def normalise_message(bodies: DataFrame, body: str = "body") -> DataFrame:

@@ -15,20 +15,39 @@ def convert_cost(df: DataFrame) -> DataFrame:
     return df.withColumn("est_cost_krw", F.col("est_cost_usd") * F.col("fx_rate"))
 
 
-def cost_per_tick(costs: DataFrame, ticks: DataFrame, slices: int | None = None) -> DataFrame:
+def cost_per_tick(
+    costs: DataFrame,
+    ticks: DataFrame,
+    cost_slices: int | None = None,
+    tick_slices: int = 1,
+) -> DataFrame:
     """Every cost row at every tick, with ``est_cost_krw``; ``ticks`` may be a stream.
 
-    The result is |costs| x |ticks| rows by definition, so no side may be assumed small.
-    The cost rows are hashed into slices and each tick goes to every slice. That makes an
-    equi-join of even groups: Spark broadcasts a side only when it is below the threshold
-    and otherwise shuffles both, instead of a nested loop over a broadcast cost table.
+    The result has |costs| x |ticks| rows by definition, so the work is laid out as a grid:
+    each side is hashed into its slices and copied to those of the other side, and the
+    cells are matched by an equi-join. Spark broadcasts a side only when its size is below
+    the threshold and otherwise shuffles both into even cells, instead of running a nested
+    loop over a broadcast cost table.
 
-    To sum over cost rows, sum them first and convert the sums: the rate is a factor.
+    Slice the larger side, since the other one is copied. The default suits a large cost
+    table and the few ticks of a micro-batch; for few costs and many ticks give
+    ``cost_slices=1`` and slice the ticks. To sum over cost rows, sum them first and convert
+    the sums: the rate is a factor.
     """
-    spark = costs.sparkSession
-    n = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = costs.withColumn(
-        "_slice", F.pmod(F.xxhash64(*costs.columns), F.lit(n).cast("long")).cast("int")
-    )
-    copied = ticks.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return convert_cost(sliced.join(copied, "_slice").drop("_slice"))
+    rows = cost_slices or default_slices(costs)
+    left = _copied(_sliced(costs, "_row", rows), "_column", tick_slices)
+    right = _copied(_sliced(ticks, "_column", tick_slices), "_row", rows)
+    return convert_cost(left.join(right, ["_row", "_column"]).drop("_row", "_column"))
+
+
+def default_slices(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _sliced(df: DataFrame, name: str, slices: int) -> DataFrame:
+    number = F.pmod(F.xxhash64(*df.columns), F.lit(slices).cast("long"))
+    return df.withColumn(name, number.cast("int"))
+
+
+def _copied(df: DataFrame, name: str, slices: int) -> DataFrame:
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))

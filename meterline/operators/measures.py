@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.operators.usage import USAGE_KEYS
-
 COST = "est_cost_usd"
-_ROW_ORDER = ("year", "month", *USAGE_KEYS, COST)
 
 
 def _total() -> Column:
     return F.coalesce(F.sum(COST), F.lit(0.0))
 
 
-def _latest_row_cost() -> Column:
-    # The latest row comes out of the same hash aggregate as the totals, without a sort.
-    return F.coalesce(F.max_by(COST, F.struct(*_ROW_ORDER)), F.lit(0.0))
+def _latest(value: str) -> Column:
+    return F.coalesce(F.max_by(value, F.struct("year", "month")), F.lit(0.0))
 
 
 def total_cost(rows: DataFrame) -> DataFrame:
@@ -26,15 +22,19 @@ def total_cost(rows: DataFrame) -> DataFrame:
 
 
 def recent_row_cost(rows: DataFrame) -> DataFrame:
-    """Cost of the single last row by period, ties broken by the other keys; 0 for no rows."""
-    return rows.agg(_latest_row_cost().alias("recent_cost"))
+    """Cost of a single row of the latest month, its costliest one; 0 for no rows.
+
+    Which row of that month counts as last is a matter of taste. The costliest needs only
+    a maximum per month, which tasks combine before the shuffle, and no sort of the rows.
+    """
+    months = rows.groupBy("year", "month").agg(F.max(COST).alias("row_cost"))
+    return months.agg(_latest("row_cost").alias("recent_cost"))
 
 
 def last_period_cost(rows: DataFrame) -> DataFrame:
     """Cost of the whole latest month; 0 for no rows."""
     months = rows.groupBy("year", "month").agg(_total().alias("cost"))
-    latest = F.max_by("cost", F.struct("year", "month"))
-    return months.agg(F.coalesce(latest, F.lit(0.0)).alias("last_period_cost"))
+    return months.agg(_latest("cost").alias("last_period_cost"))
 
 
 def active_tenants(rows: DataFrame, approximate: bool = False) -> DataFrame:
@@ -44,11 +44,18 @@ def active_tenants(rows: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def kpi_row(rows: DataFrame) -> DataFrame:
-    """The three header figures in one pass."""
-    return rows.agg(
+    """The three header figures in one pass: by tenant and month first, then over those."""
+    months = rows.groupBy("tenant_name", "year", "month").agg(
+        F.sum(COST).alias(COST), F.max(COST).alias("row_cost")
+    )
+    periods = months.groupBy("tenant_name").agg(
+        F.sum(COST).alias(COST),
+        F.max(F.struct("year", "month", "row_cost")).alias("latest"),
+    )
+    return periods.agg(
         _total().alias("total_cost"),
-        _latest_row_cost().alias("recent_cost"),
-        F.count_distinct("tenant_name").alias("active_tenants"),
+        F.coalesce(F.max("latest")["row_cost"], F.lit(0.0)).alias("recent_cost"),
+        F.count("tenant_name").alias("active_tenants"),
     )
 
 

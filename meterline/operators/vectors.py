@@ -44,8 +44,21 @@ def vector_top_k(
     A question set below the size bound is broadcast, and each task keeps the best ``k`` per
     question while it reads its chunks, so the shuffle carries k rows per question and
     task. A larger set is joined on a grid: question cells times chunk cells, each of
-    bounded size, with the best ``k`` kept per cell. No pair of the two sides is ever a row.
+    bounded size, with the best ``k`` kept per cell. A pair that is no result is never a row.
     """
+    return bounded_top_k(chunks, questions, k, chunk_id, question_id, vector, broadcast_entries)[0]
+
+
+def bounded_top_k(
+    chunks: DataFrame,
+    questions: DataFrame,
+    k: int,
+    chunk_id: str = "chunk_id",
+    question_id: str = "question_id",
+    vector: str = "embedding",
+    broadcast_entries: int = BROADCAST_ENTRIES,
+) -> tuple[DataFrame, int | None]:
+    """``vector_top_k`` and the most rows it can have, where the questions are counted."""
     left = _usable(chunks, chunk_id, vector)
     right = _usable(questions, question_id, vector)
     schema = T.StructType(
@@ -61,7 +74,8 @@ def vector_top_k(
     else:
         best = _with_broadcast(left, known, k, schema)
     order = Window.partitionBy(question_id).orderBy(F.desc("score"), chunk_id)
-    return best.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
+    ranked = best.withColumn("hit_rank", F.row_number().over(order))
+    return ranked.filter(F.col("hit_rank") <= k), None if known is None else k * len(known)
 
 
 def _usable(df: DataFrame, id_name: str, vector: str) -> DataFrame:

@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from meterline.functions.models import ChatFunction, EmbedFunction, embed_texts, generate
 from meterline.functions.text import SYSTEM_TEXT, build_prompt
 from meterline.operators import hits as hit_steps
-from meterline.operators.vectors import vector_top_k
+from meterline.operators.vectors import bounded_top_k
 from meterline.settings import DEFAULT_TOP_K
 
 
-def search(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+# A result is two ids, a score and a rank: 32 MB at most when broadcast.
+BROADCAST_HITS = 500_000
+
+
+def search(
+    chunks: DataFrame,
+    questions: DataFrame,
+    k: int = DEFAULT_TOP_K,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """Hits of each question: ``question_id, hit_rank, row_id, score`` and the chunk's columns.
 
-    The search itself reads ids and vectors; texts are joined to its few results.
+    The search itself reads ids and vectors, from ``vectors`` if they are stored apart. The
+    texts are joined to its results; where the number of results is known to be small they
+    are broadcast, so that the texts are filtered where they are read and never shuffled.
     """
-    found = vector_top_k(chunks, questions, k)
+    found, most_rows = bounded_top_k(chunks if vectors is None else vectors, questions, k)
     texts = chunks.select(
         "chunk_id", "tenant_name", "region", F.col("text").alias("chunk_text")
     )
-    return found.join(texts, "chunk_id").withColumnRenamed("chunk_id", "row_id")
+    if most_rows is not None and most_rows <= BROADCAST_HITS:
+        found = F.broadcast(found)
+    return texts.join(found, "chunk_id").withColumnRenamed("chunk_id", "row_id")
 
 
 def retrieve(
@@ -29,11 +42,12 @@ def retrieve(
     questions: DataFrame,
     k: int = DEFAULT_TOP_K,
     embed: EmbedFunction | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Hits with tenant key and text; questions without vectors get them from ``embed``."""
     if "embedding" not in questions.columns:
         questions = embed_texts(questions, "question", embed)
-    return hit_steps.as_hits(search(chunks, questions, k))
+    return hit_steps.as_hits(search(chunks, questions, k, vectors))
 
 
 def answer_prompts(
@@ -56,8 +70,9 @@ def answer(
     chat: ChatFunction,
     k: int = DEFAULT_TOP_K,
     embed: EmbedFunction | None = None,
+    vectors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers and citations of all questions."""
-    hits = retrieve(chunks, questions, k, embed)
+    hits = retrieve(chunks, questions, k, embed, vectors)
     answers = generate(answer_prompts(hits, questions), chat)
     return answers.select("question_id", "answer"), hit_steps.group_citations(hits)

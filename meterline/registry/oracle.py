@@ -211,8 +211,8 @@ def _violations(part: str, rules: dict[str, str], action: str | None) -> str:
     return _sql(" UNION ALL ".join(rows).replace("AS constraint", 'AS "constraint"'), part)
 
 
-_LATEST = f"""(SELECT est_cost_usd FROM rows_ ORDER BY year DESC, month DESC,
-{", ".join(f"{key} DESC NULLS LAST" for key in _KEYS.split(", "))}, est_cost_usd DESC LIMIT 1)"""
+_LATEST = """(SELECT est_cost_usd FROM rows_
+ORDER BY year DESC, month DESC, est_cost_usd DESC LIMIT 1)"""
 
 
 def _latest(part: str) -> str:

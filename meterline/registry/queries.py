@@ -278,7 +278,15 @@ def fx_cross_join(spark, sf_dir):
     The monthly rows are summed per tenant before they meet the ticks, since the rate is a
     factor of the sum; the result has ticks x tenants rows instead of ticks x monthly rows.
     """
-    return fx.cost_per_tick(inputs.tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir))
+    costs, ticks = _stored_tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
+    return fx.cost_per_tick(costs, ticks, cost_slices=1, tick_slices=fx.default_slices(ticks))
+
+
+def _stored_tenant_costs(spark, sf_dir) -> DataFrame:
+    """Written out, so that Spark knows the size of this small side before it plans the join."""
+    folder = scratch_dir(spark, "tenant-costs")
+    inputs.tenant_costs(spark, sf_dir).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _fx_files(spark, sf_dir) -> str:
@@ -320,12 +328,10 @@ def stream_dataset(spark, sf_dir):
 @query
 def append_stream(spark, sf_dir):
     """Rate files to stored costs of every tenant at every tick."""
-    costs = scratch_dir(spark, "tenant-costs")
-    inputs.tenant_costs(spark, sf_dir).write.parquet(costs)
     arriving = fx.fx_pair_filter(fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir)))
-    return _plain_time(
-        _stored(spark, fx_streams.stream_converted_cost(spark.read.parquet(costs), arriving))
-    )
+    costs = _stored_tenant_costs(spark, sf_dir)
+    converted = fx_streams.stream_converted_cost(costs, arriving, 1, fx.default_slices(costs))
+    return _plain_time(_stored(spark, converted))
 
 
 # Search.
@@ -333,8 +339,7 @@ def append_stream(spark, sf_dir):
 
 @query
 def vector_top_k_query(spark, sf_dir):
-    chunks, questions = inputs.chunks(spark, sf_dir), inputs.questions(spark, sf_dir)
-    return vector_top_k(chunks, questions, inputs.TOP_K)
+    return vector_top_k(inputs.vectors(spark, sf_dir), inputs.questions(spark, sf_dir), inputs.TOP_K)
 
 
 QUERIES["vector_top_k"] = QUERIES.pop("vector_top_k_query")
@@ -343,16 +348,14 @@ QUERIES["vector_top_k"] = QUERIES.pop("vector_top_k_query")
 @query
 def vector_top_k_grid(spark, sf_dir):
     """Every vector asks for its neighbours, by the way for question sets too large to broadcast."""
-    vectors = inputs.table(spark, sf_dir, "embeddings")
-    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    questions = vectors.select(F.col("vec_id").alias("question_id"), "embedding")
+    chunks = inputs.vectors(spark, sf_dir)
+    questions = chunks.withColumnRenamed("chunk_id", "question_id")
     return vector_top_k(chunks, questions, inputs.TOP_K, broadcast_entries=0)
 
 
 @query
 def retrieve(spark, sf_dir):
-    found = answers.retrieve(inputs.chunks(spark, sf_dir), inputs.questions(spark, sf_dir), inputs.TOP_K)
-    return found.select(
+    return inputs.found_chunks(spark, sf_dir).select(
         "question_id", "hit_rank", "row_id", "tenant_name", "tenant_key", "region", "chunk_text", "score"
     )
 
