@@ -35,14 +35,37 @@ def _kept(bodies: DataFrame, body: str) -> list[Column]:
     return [F.col(name) for name in bodies.columns if name != body]
 
 
-def _hit_rows(bodies: DataFrame, body: str, entries: Column, fields: dict[str, Column]) -> DataFrame:
+_HIT_FIELDS = ("row_id", "tenant_name", "region", "chunk_text", "score")
+
+
+def _positional() -> Column:
+    """Entries given as arrays; those of fewer than five values are left out."""
+    rows = _at(_BODY, "$.result.data_array", _LIST)
+    return F.filter(rows, lambda row: _at(row, "$[4]").isNotNull())
+
+
+def _positional_fields(entry: Column) -> list[Column]:
+    return [_at(entry, f"$[{place}]", "string") for place in range(len(_HIT_FIELDS))]
+
+
+def _named() -> Column:
+    return _at(_BODY, "$.result", _LIST)
+
+
+def _named_fields(entry: Column) -> list[Column]:
+    paths = ("metadata.tenant_name", "metadata.region", "metadata.text", "score")
+    known = [_at(entry, f"$.{path}", "string") for path in paths]
+    return [F.lit(None).cast("string"), *known]
+
+
+def _hits(bodies: DataFrame, body: str, entries: Column, fields: list[Column]) -> DataFrame:
     """Unfold entries to hits; ``hit_rank`` is the arrival order within a body, from 1."""
     kept = _kept(bodies, body)
     unfolded = _parsed(bodies, body).select(*kept, F.posexplode(entries).alias("_pos", "_entry"))
     raw = unfolded.select(
         *kept,
         (F.col("_pos") + 1).alias("hit_rank"),
-        *[column.alias(name) for name, column in fields.items()],
+        *[column.alias(name) for name, column in zip(_HIT_FIELDS, fields)],
     )
     return raw.withColumns(
         {
@@ -58,32 +81,28 @@ def decode_hit_rows(bodies: DataFrame, body: str = "body") -> DataFrame:
 
     Arrays of fewer than five entries are skipped, further entries are ignored.
     """
-    rows = F.filter(
-        _at(_BODY, "$.result.data_array", _LIST), lambda row: _at(row, "$[4]").isNotNull()
-    )
-    at = lambda i: _at("_entry", f"$[{i}]", "string")
-    names = ("row_id", "tenant_name", "region", "chunk_text", "score")
-    return _hit_rows(bodies, body, rows, {name: at(i) for i, name in enumerate(names)})
+    return _hits(bodies, body, _positional(), _positional_fields(F.col("_entry")))
 
 
 def decode_hit_dicts(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Hits given as objects with ``metadata`` and ``score`` in a list under ``result``.
 
-    An entry that is no object counts as a hit of which nothing is known.
+    An entry that is no object counts as a hit of which nothing is known. This shape has no
+    row id.
     """
-    fields = {
-        "row_id": F.lit(None).cast("string"),
-        "tenant_name": _at("_entry", "$.metadata.tenant_name", "string"),
-        "region": _at("_entry", "$.metadata.region", "string"),
-        "chunk_text": _at("_entry", "$.metadata.text", "string"),
-        "score": _at("_entry", "$.score", "string"),
-    }
-    return _hit_rows(bodies, body, _at(_BODY, "$.result", _LIST), fields)
+    return _hits(bodies, body, _named(), _named_fields(F.col("_entry")))
 
 
 def decode_hits(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Hits of either shape; a body uses one of them, so the two results are disjoint."""
-    return decode_hit_rows(bodies, body).unionByName(decode_hit_dicts(bodies, body))
+    """Hits of either shape, in one pass; the shape is told apart body by body."""
+    tagged = F.transform(_positional(), lambda row: F.struct(F.lit(True).alias("p"), row.alias("v")))
+    others = F.transform(_named(), lambda hit: F.struct(F.lit(False).alias("p"), hit.alias("v")))
+    positional, value = F.col("_entry.p"), F.col("_entry.v")
+    either = [
+        F.when(positional, by_place).otherwise(by_name)
+        for by_place, by_name in zip(_positional_fields(value), _named_fields(value))
+    ]
+    return _hits(bodies, body, F.coalesce(tagged, others), either)
 
 
 def _vectors(bodies: DataFrame, body: str) -> DataFrame:

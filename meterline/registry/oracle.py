@@ -384,6 +384,11 @@ ORACLE_SQL: dict[str, str] = {
     "answer_prompts": _all("prompts"),
     "decode_hit_rows": _all("hits", "* REPLACE (CAST(row_id AS VARCHAR) AS row_id)"),
     "decode_hit_dicts": _all("hits", "* EXCLUDE (row_id)"),
+    "decode_hits": _sql(
+        """SELECT * REPLACE (CAST(row_id AS VARCHAR) AS row_id) FROM hits
+        UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS row_id) FROM hits""",
+        "hits",
+    ),
     "decode_embeddings": """SELECT vec_id // 8 AS request_id,
         CAST(vec_id % 8 AS INTEGER) AS position, CAST(dimension - 1 AS INTEGER) AS dimension,
         CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS value,

@@ -486,6 +486,13 @@ def decode_hit_dicts(spark, sf_dir):
     return responses.decode_hit_dicts(inputs.hit_dict_bodies(spark, sf_dir)).drop("row_id")
 
 
+@query
+def decode_hits(spark, sf_dir):
+    """Responses of both shapes in one frame."""
+    both = inputs.hit_row_bodies(spark, sf_dir).union(inputs.hit_dict_bodies(spark, sf_dir))
+    return responses.decode_hits(both)
+
+
 @query
 def decode_embeddings(spark, sf_dir):
     decoded = responses.decode_embeddings(inputs.embedding_bodies(spark, sf_dir))
