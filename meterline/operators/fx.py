@@ -16,34 +16,29 @@ def convert_cost(df: DataFrame) -> DataFrame:
 
 
 def cost_per_tick(
-    costs: DataFrame,
-    ticks: DataFrame,
-    cost_slices: int | None = None,
-    tick_slices: int = 1,
+    costs: DataFrame, ticks: DataFrame, cost_slices: int = 1, tick_slices: int = 1
 ) -> DataFrame:
     """Every cost row at every tick, with ``est_cost_krw``; ``ticks`` may be a stream.
 
-    The result has |costs| x |ticks| rows by definition, so the work is laid out as a grid:
-    each side is hashed into its slices and copied to those of the other side, and the
-    cells are matched by an equi-join. Spark broadcasts a side only when its size is below
-    the threshold and otherwise shuffles both into even cells, instead of running a nested
-    loop over a broadcast cost table.
+    The result has |costs| x |ticks| rows by definition, so the work is laid out as a grid of
+    cells that an equi-join matches. With one slice per side Spark broadcasts the side whose
+    size, known from its files, is below the threshold, and reads the other one without a
+    shuffle: the ticks of a micro-batch against a large cost table, or a few cost rows
+    against many ticks.
 
-    Slice the larger side, since the other one is copied. The default suits a large cost
-    table and the few ticks of a micro-batch; for few costs and many ticks give
-    ``cost_slices=1`` and slice the ticks. To sum over cost rows, sum them first and convert
-    the sums: the rate is a factor.
+    Where neither side is small, slice them. Each side is then hashed into its slices and
+    copied to those of the other side, and a sort-merge join works on the even cells; it is
+    asked for by name, because the size check does not see the copies.
+
+    To sum over cost rows, sum them first and convert the sums: the rate is a factor.
     """
-    rows = cost_slices or default_slices(costs)
-    left = _copied(_sliced(costs, "_row", rows), "_column", tick_slices)
-    right = _copied(_sliced(ticks, "_column", tick_slices), "_row", rows)
+    left = _copied(_sliced(costs, "_row", cost_slices), "_column", tick_slices)
+    right = _copied(_sliced(ticks, "_column", tick_slices), "_row", cost_slices)
+    if cost_slices > 1 or tick_slices > 1:
+        left = left.hint("merge")
     return convert_cost(left.join(right, ["_row", "_column"]).drop("_row", "_column"))
 
 
-def default_slices(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _sliced(df: DataFrame, name: str, slices: int) -> DataFrame:
     number = F.pmod(F.xxhash64(*df.columns), F.lit(slices).cast("long"))
     return df.withColumn(name, number.cast("int"))

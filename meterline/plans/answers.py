@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from meterline.functions.models import ChatFunction, EmbedFunction, embed_texts,
 from meterline.functions.text import SYSTEM_TEXT, build_prompt
 from meterline.operators import hits as hit_steps
 from meterline.operators.vectors import bounded_top_k
-from meterline.settings import DEFAULT_TOP_K
-
+from meterline.settings import DEFAULT_HIT_COLUMNS, DEFAULT_TOP_K, split_names
 
+HIT_COLUMNS = split_names(DEFAULT_HIT_COLUMNS)
 # A result is two ids, a score and a rank: 32 MB at most when broadcast.
 BROADCAST_HITS = 500_000
 
@@ -21,20 +23,27 @@ def search(
     questions: DataFrame,
     k: int = DEFAULT_TOP_K,
     vectors: DataFrame | None = None,
+    columns: Sequence[str] = HIT_COLUMNS,
 ) -> DataFrame:
     """Hits of each question: ``question_id, hit_rank, row_id, score`` and the chunk's columns.
 
-    The search itself reads ids and vectors, from ``vectors`` if they are stored apart. The
-    texts are joined to its results; where the number of results is known to be small they
-    are broadcast, so that the texts are filtered where they are read and never shuffled.
+    ``columns`` names the id, tenant, region and text of the chunk table. The search itself
+    reads ids and vectors, from ``vectors`` if they are stored apart. The texts are joined
+    to its results; where the number of results is known to be small they are broadcast, so
+    that the texts are filtered where they are read and never shuffled.
     """
-    found, most_rows = bounded_top_k(chunks if vectors is None else vectors, questions, k)
+    chunk_id, tenant, region, text = columns
+    searched = chunks if vectors is None else vectors
+    found, most_rows = bounded_top_k(searched, questions, k, chunk_id)
     texts = chunks.select(
-        "chunk_id", "tenant_name", "region", F.col("text").alias("chunk_text")
+        chunk_id,
+        F.col(tenant).alias("tenant_name"),
+        F.col(region).alias("region"),
+        F.col(text).alias("chunk_text"),
     )
     if most_rows is not None and most_rows <= BROADCAST_HITS:
         found = F.broadcast(found)
-    return texts.join(found, "chunk_id").withColumnRenamed("chunk_id", "row_id")
+    return texts.join(found, chunk_id).withColumnRenamed(chunk_id, "row_id")
 
 
 def retrieve(
@@ -43,11 +52,12 @@ def retrieve(
     k: int = DEFAULT_TOP_K,
     embed: EmbedFunction | None = None,
     vectors: DataFrame | None = None,
+    columns: Sequence[str] = HIT_COLUMNS,
 ) -> DataFrame:
     """Hits with tenant key and text; questions without vectors get them from ``embed``."""
     if "embedding" not in questions.columns:
         questions = embed_texts(questions, "question", embed)
-    return hit_steps.as_hits(search(chunks, questions, k, vectors))
+    return hit_steps.as_hits(search(chunks, questions, k, vectors, columns))
 
 
 def answer_prompts(
@@ -71,8 +81,9 @@ def answer(
     k: int = DEFAULT_TOP_K,
     embed: EmbedFunction | None = None,
     vectors: DataFrame | None = None,
+    columns: Sequence[str] = HIT_COLUMNS,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers and citations of all questions."""
-    hits = retrieve(chunks, questions, k, embed, vectors)
+    hits = retrieve(chunks, questions, k, embed, vectors, columns)
     answers = generate(answer_prompts(hits, questions), chat)
     return answers.select("question_id", "answer"), hit_steps.group_citations(hits)

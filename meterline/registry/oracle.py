@@ -327,6 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "detail_rows": _all("selected") + " ORDER BY year, month, tenant_name",
     "fx_pair_filter": _all("pair_ticks", _RATES),
     "fx_cross_join": _all("krw"),
+    "fx_cross_join_grid": _all("krw"),
     "stream_fx_files": _all("ticks", _RATES),
     "stream_dataset": _all("pair_ticks", _RATES),
     "append_stream": _all("krw"),

@@ -279,7 +279,14 @@ def fx_cross_join(spark, sf_dir):
     factor of the sum; the result has ticks x tenants rows instead of ticks x monthly rows.
     """
     costs, ticks = _stored_tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
-    return fx.cost_per_tick(costs, ticks, cost_slices=1, tick_slices=fx.default_slices(ticks))
+    return fx.cost_per_tick(costs, ticks)
+
+
+@query
+def fx_cross_join_grid(spark, sf_dir):
+    """The same by the way for two large sides."""
+    costs, ticks = inputs.tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
+    return fx.cost_per_tick(costs, ticks, cost_slices=2, tick_slices=16)
 
 
 def _stored_tenant_costs(spark, sf_dir) -> DataFrame:
@@ -293,8 +300,7 @@ def _fx_files(spark, sf_dir) -> str:
     """All events as rate files in JSON lines."""
     folder = scratch_dir(spark, "fx-json")
     to_micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    ticks = inputs.ticks(spark, sf_dir).withColumn("as_of_ts", F.date_format("as_of_ts", to_micros))
-    ticks.write.json(folder)
+    inputs.ticks(spark, sf_dir).write.option("timestampNTZFormat", to_micros).json(folder)
     return folder
 
 
@@ -330,7 +336,7 @@ def append_stream(spark, sf_dir):
     """Rate files to stored costs of every tenant at every tick."""
     arriving = fx.fx_pair_filter(fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir)))
     costs = _stored_tenant_costs(spark, sf_dir)
-    converted = fx_streams.stream_converted_cost(costs, arriving, 1, fx.default_slices(costs))
+    converted = fx_streams.stream_converted_cost(costs, arriving)
     return _plain_time(_stored(spark, converted))
 
 

@@ -22,9 +22,10 @@ def query_df(spark: SparkSession, sql_text: str) -> DataFrame:
     return spark.sql(sql_text)
 
 
-def load_billing_data(spark: SparkSession, settings: Settings) -> DataFrame:
-    """The columns of the monthly table that reports use."""
-    return scan_dataset(spark, settings.qualified(settings.gold_table)).select(*GOLD_COLUMNS)
+def load_billing_data(spark: SparkSession, settings: Settings, cache: bool = False) -> DataFrame:
+    """The columns of the monthly table that reports use; cached if read many times."""
+    gold = scan_dataset(spark, settings.qualified(settings.gold_table)).select(*GOLD_COLUMNS)
+    return gold.cache() if cache else gold
 
 
 def use_namespace(spark: SparkSession, catalog: str | None = None, schema: str | None = None) -> None:

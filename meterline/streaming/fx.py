@@ -77,14 +77,14 @@ def append_stream(
     return writer.toTable(table) if table is not None else writer.start(path)
 
 
-def stream_converted_cost(
-    costs: DataFrame, ticks: DataFrame, cost_slices: int | None = None, tick_slices: int = 1
-) -> DataFrame:
+def stream_converted_cost(costs: DataFrame, ticks: DataFrame) -> DataFrame:
     """Every new tick with every cost row; each tick appends a full copy of ``costs``.
 
-    New rows of the cost table are seen by the next micro-batch.
+    Every micro-batch is planned by the size of its own files, so the few new ticks are
+    broadcast and the cost table is read where it lies; ``max_files`` of the source bounds
+    them. New rows of the cost table are seen by the next micro-batch.
     """
-    return cost_per_tick(costs, ticks, cost_slices, tick_slices)
+    return cost_per_tick(costs, ticks)
 
 
 def run_fx(

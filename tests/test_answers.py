@@ -105,12 +105,12 @@ def _echo():
 def test_answer_from_question_to_citation(spark):
     chunks = spark.createDataFrame(
         [(1, "T", "kr", "aaa"), (2, "U", "kr", "bbb"), (3, None, "kr", "ab")],
-        "chunk_id long, tenant_name string, region string, text string",
+        "id long, tenant string, place string, body string",
     )
     vectors = lambda texts: _vectors(texts)
-    chunks = embed_texts(chunks, "text", vectors)
+    chunks = embed_texts(chunks, "body", vectors)
     questions = spark.createDataFrame([(9, "aaaa"), (8, "bb")], "question_id long, question string")
-    answered, citations = answers.answer(chunks, questions, _echo(), k=2, embed=vectors)
+    answered, citations = answers.answer(chunks, questions, _echo(), k=2, embed=vectors, columns=("id", "tenant", "place", "body"))
     assert {r.answer.split("|", 1)[1] for r in answered.collect()} == {"user|0.2"}
     first = citations.filter("question_id = 9 AND tenant_first = 1").first()
     assert (first.tenant_name, [c.chunk_text for c in first.chunks]) == ("T", ["aaa"])
