@@ -1,7 +1,5 @@
 """The plans that large inputs depend on."""
 
-import pytest
-
 from meterline.registry.queries import QUERIES
 from tests.conftest import SF_DIR
 
@@ -10,12 +8,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", QUERIES)
-def test_no_query_pairs_all_rows(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-
-
 def test_rules_reach_the_scan(spark):
     text = plan(QUERIES["daily_usage"](spark, SF_DIR))
     assert "In(c_mktsegment, [AUTOMOBILE,BUILDING,FURNITURE,HOUSEHOLD])" in text

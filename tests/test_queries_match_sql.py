@@ -20,8 +20,11 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_matches_sql(spark, duck, name):
-    assert differences(QUERIES[name](spark, SF_DIR), duck, SQL[name]) == []
+def test_matches_sql_without_pairing_all_rows(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    assert differences(df, duck, SQL[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_entry_runs(spark):

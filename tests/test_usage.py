@@ -3,6 +3,8 @@
 import datetime
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,62 @@ def test_constraint_actions_and_counts(spark):
 def test_violations_of_an_empty_frame(spark):
     df = spark.createDataFrame([], "x int")
     assert [tuple(r) for r in violations(df, [expect("any", "x > 0")]).collect()] == [("any", "warn", 0, 0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_records_match_pandas(spark, seed, rows):
+    """A third of the records belong to one group, and half of those repeat one record."""
+    random = np.random.default_rng(seed)
+    n = 3000
+    pick = lambda *values: random.choice(np.array(values, dtype=object), n)
+    frame = pd.DataFrame(
+        {
+            "record_id": random.integers(0, 900, n).astype(str).astype(object),
+            "tenant_name": pick("A", "B", "C", "X", "", None),
+            "sku_name": pick("s1", "s2"),
+            "usage_type": pick("compute", "storage"),
+            "usage_unit": pick("DBU", "DBU", "GB", None),
+            "region": pick("kr", "us", None),
+            "node_type": pick("small", "large", None),
+            "usage_date": pick("2023-12-31", "2024-01-01", "2024-01-31", None),
+            "usage_quantity": pick(0.0, 1.0, 2.5, -1.0, None),
+        }
+    )
+    hot = ["7", "A", "s1", "compute", "DBU", "kr", "small", "2024-01-01", 2.0]
+    frame.iloc[: n // 3] = hot
+    frame.loc[: n // 6, "record_id"] = [f"hot{i}" for i in range(n // 6 + 1)]
+    frame.loc[random.integers(0, n, 50), "record_id"] = None
+    price = pd.DataFrame(
+        [("s1", "kr", "small", 0.5), ("s2", "us", "large", 0.25), ("s2", "kr", None, 9.0)],
+        columns=["sku_name", "region", "node_type", "usd_per_dbu"],
+    )
+
+    keys = list(usage.USAGE_KEYS)
+    good = frame[
+        frame.record_id.notna()
+        & (pd.to_numeric(frame.usage_quantity) >= 0)
+        & frame.tenant_name.isin(["A", "B", "C"])
+    ].assign(usage_quantity=lambda df: pd.to_numeric(df.usage_quantity))
+    daily = (
+        good.groupby(["usage_date", *keys], dropna=False)
+        .agg(total=("usage_quantity", "sum"), records=("record_id", "nunique"))
+        .reset_index()
+    )
+    daily = daily[(daily.usage_unit == "DBU") & (daily.total > 0) & daily.usage_date.notna()]
+    daily["year"] = daily.usage_date.str[:4].astype(int)
+    daily["month"] = daily.usage_date.str[5:7].astype(int)
+    monthly = daily.groupby(["year", "month", *keys], dropna=False)[["total", "records"]].sum().reset_index()
+    known = {tuple(p[:3]): p[3] for p in price.itertuples(index=False) if p.node_type}
+    want = []
+    for row in monthly.itertuples(index=False):
+        plain = [None if pd.isna(v) else v for v in row]
+        named = dict(zip(monthly.columns, plain))
+        cost = named["total"] * known.get((named["sku_name"], named["region"], named["node_type"]), 0.0)
+        want.append((*plain[:8], named["total"], cost, named["records"]))
+
+    records = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), SCHEMA)
+    prices = spark.createDataFrame(
+        [tuple(p) for p in price.itertuples(index=False)],
+        "sku_name string, region string, node_type string, usd_per_dbu double",
+    )
+    assert rows(medallion.monthly_billing(records, prices, ["A", "B", "C"])) == sorted(want, key=repr)
