@@ -15,6 +15,17 @@ TABLES = (
 ).split()
 
 
+_SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -38,22 +49,19 @@ def _rows(names, rows) -> Counter:
 
 def differences(df, connection, sql: str) -> list[str]:
     """What differs, in words; empty if the results are the same."""
+    described = connection.execute(f"DESCRIBE {sql}").fetchall()
+    want_types = {row[0]: row[1] for row in described}
+    have_types = {name: _SQL_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    if have_types != want_types:
+        return [f"columns {have_types} against {want_types}"]
     result = connection.execute(sql)
     names = [column[0] for column in result.description]
-    if sorted(names) != sorted(df.columns):
-        return [f"columns {sorted(df.columns)} against {sorted(names)}"]
     want = _rows(names, result.fetchall())
     have = _rows(df.columns, df.collect())
-    kinds = [_kinds(have), _kinds(want)]
-    found = [] if kinds[0] == kinds[1] else [f"types {kinds[0]} against {kinds[1]}"]
+    found = []
     if have != want:
         extra, missing = have - want, want - have
         found.append(f"{have.total()} rows against {want.total()}")
         found += [f"only Spark: {row}" for row in list(extra)[:2]]
         found += [f"only SQL: {row}" for row in list(missing)[:2]]
     return found
-
-
-def _kinds(rows: Counter) -> list[set[str]]:
-    kinds = zip(*[[type(v).__name__ for v in row] for row in rows])
-    return [set(kind) - {"NoneType"} for kind in kinds]
