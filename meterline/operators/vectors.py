@@ -17,8 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCORE_DIGITS = 6
-# Bound of the broadcast, in vector entries: 16 MB as floats.
+# Bounds of the broadcast: vector entries (16 MB as floats) and vectors.
 BROADCAST_ENTRIES = 4_000_000
+BROADCAST_QUESTIONS = 50_000
 # Vectors per side in one cell of the grid join.
 GRID_QUESTIONS = 2_000
 GRID_CHUNKS = 50_000
@@ -86,9 +87,10 @@ def _usable(df: DataFrame, id_name: str, vector: str) -> DataFrame:
 
 
 def _within(vectors: DataFrame, entries: int) -> pa.Table | None:
-    """The vectors, if they have at most ``entries`` entries together, else None."""
-    size = vectors.agg(F.sum(F.size("vector"))).first()[0] or 0
-    return vectors.toArrow() if size <= entries else None
+    """The vectors if they are few and have at most ``entries`` entries together, else None."""
+    count, size = vectors.agg(F.count("vector"), F.sum(F.size("vector"))).first()
+    small = count <= BROADCAST_QUESTIONS and (size or 0) <= entries
+    return vectors.toArrow() if small else None
 
 
 def _matrix(column) -> np.ndarray:
