@@ -6,8 +6,7 @@ import __spark_entry__ as entry_points
 from tests.compare import connect, differences
 from tests.conftest import SF_DIR
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES, SQL = entry_points.QUERIES, entry_points.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
