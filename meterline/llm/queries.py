@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from meterline.llm.jaccard import op4_ngram_jaccard
+from meterline.llm.mixing import op1_mixing
 from meterline.llm.quality import op5_quality_rules
 from meterline.llm.secrets import op9_secret_scans
 
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_mixing,
+        op4_ngram_jaccard,
         op5_quality_rules,
         op9_secret_scans,
     )
