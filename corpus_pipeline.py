@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.common import stored, table
+from meterline.llm.jaccard import keep_one
+from meterline.llm.mixing import Mix
+from meterline.llm.pieces import encode
 from meterline.llm.quality import keep_good
 from meterline.llm.secrets import redact
 
@@ -22,14 +25,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its runs of five words."""
+    return keep_one(docs, n=5, percent=80)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
     return docs.withColumn("text", redact(F.col("text")))
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, which may be never or twice."""
+    return Mix(docs).documents()
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each document of the mix."""
+    ids = docs.select("doc_id", "source", encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_pieces"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", one_of_each_group),
     ("secret scans", secret_scans),
+    ("mixing", mixing),
+    ("pieces", pieces),
 ]
 
 

@@ -29,8 +29,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meterline.llm.common import (
     LOWER,
@@ -119,7 +120,7 @@ def _identity(grams: np.ndarray) -> tuple[int, int]:
     return tuple(mix(np.array([one, two], _U) + _U(len(grams))).view(np.int64).tolist())
 
 
-SETS = "doc_id {id}, n_shingles bigint, set_1 bigint, set_2 bigint, level int, up array<bigint>, down array<bigint>"
+SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint, level int, up array<bigint>, down array<bigint>"
 
 
 def _sets(n: int, percent: int):
@@ -139,11 +140,11 @@ def _sets(n: int, percent: int):
                 level.append(levels.level(len(grams)))
                 up.append(digests(grams, level[-1] + 1, levels).view(np.int64))
                 down.append(digests(grams, level[-1], levels).view(np.int64))
-            columns = [batch.column(0), pa.array(size, pa.int64())]
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.int64())]
             columns += [pa.array([pair[i] for pair in ids], pa.int64()) for i in (0, 1)]
             columns += [pa.array(level, pa.int32())]
             columns += [pa.array(x, pa.list_(pa.int64())) for x in (up, down)]
-            names = ["doc_id", "n_shingles", "set_1", "set_2", "level", "up", "down"]
+            names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "level", "up", "down"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -244,15 +245,14 @@ def _clusters(sets: DataFrame) -> DataFrame:
     return components(pairs.filter("a != b"))
 
 
-def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for each row.
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("row_1"), F.xxhash64(text, doc_id).alias("row_2")]
 
-    The component holds all documents reachable by links of at least ``percent`` similarity
-    and is named by its least document id.
-    """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+def _grouped(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """A row for each document with the least set and the least document id of its component."""
+    ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    rows = docs.select(ids.alias("doc_id"), texts.alias("text"), *_row_key(ids, texts))
     kind = rows.schema["doc_id"].dataType.simpleString()
     every = stored(rows.mapInArrow(_sets(n, percent), SETS.format(id=kind)), "gram-sets")
     found = every.filter("n_shingles > 0")
@@ -296,10 +296,43 @@ def near_duplicates(
     )
     named = named.withColumn("component", F.coalesce("component", F.struct("set_1", "set_2")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("set_1", "set_2", "component_id")
-    result = every.select("doc_id", "n_shingles", "set_1", "set_2").join(named, ["set_1", "set_2"], "left")
+    named = named.join(least, "component").select("set_1", "set_2", "component", "component_id")
+    return every.select("doc_id", "n_shingles", "row_1", "row_2", "set_1", "set_2").join(
+        named, ["set_1", "set_2"], "left"
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` for each row.
+
+    The component holds all documents reachable by links of at least ``percent`` similarity
+    and is named by its least document id.
+    """
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"))
+    found = _grouped(docs, n, percent, doc_id, text)
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def keep_one(
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component, that of the least document id, and all rows without words.
+
+    Columns are unchanged.
+    """
+    found = _grouped(docs, n, percent, doc_id, text)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_1", "row_2")).alias("first")
+    kept = found.filter("n_shingles > 0").groupBy("component").agg(first)
+    kept = kept.select("first.row_1", "first.row_2", F.lit(True).alias("alone"))
+    wordless = found.filter("n_shingles = 0").select("row_1", "row_2", F.lit(False).alias("alone")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("row"), *_row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    joined = keyed.join(kept.union(wordless), ["row_1", "row_2"])
+    same = Window.partitionBy("row_1", "row_2").orderBy("alone")  # equal rows, of which one stays
+    chosen = joined.withColumn("copy", F.row_number().over(same)).filter("copy = 1 or not alone")
+    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

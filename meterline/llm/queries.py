@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from meterline.llm.jaccard import op4_ngram_jaccard
 from meterline.llm.mixing import op1_mixing
+from meterline.llm.pieces import op6_pieces
 from meterline.llm.quality import op5_quality_rules
 from meterline.llm.secrets import op9_secret_scans
 
@@ -13,6 +14,7 @@ QUERIES = {
         op1_mixing,
         op4_ngram_jaccard,
         op5_quality_rules,
+        op6_pieces,
         op9_secret_scans,
     )
 }
