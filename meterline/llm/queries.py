@@ -7,6 +7,8 @@ from meterline.llm.mixing import op1_mixing
 from meterline.llm.pieces import op6_pieces
 from meterline.llm.quality import op5_quality_rules
 from meterline.llm.secrets import op9_secret_scans
+from meterline.llm.sentences import op7_sentence_spans
+from meterline.llm.sharding import OP8_SQL, op8_sharding
 
 QUERIES = {
     query.__name__: query
@@ -15,7 +17,9 @@ QUERIES = {
         op4_ngram_jaccard,
         op5_quality_rules,
         op6_pieces,
+        op7_sentence_spans,
+        op8_sharding,
         op9_secret_scans,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_sharding": OP8_SQL}
