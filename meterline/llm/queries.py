@@ -9,11 +9,13 @@ from meterline.llm.quality import op5_quality_rules
 from meterline.llm.secrets import op9_secret_scans
 from meterline.llm.sentences import op7_sentence_spans
 from meterline.llm.sharding import OP8_SQL, op8_sharding
+from meterline.llm.suffixes import op3_suffix_dedup
 
 QUERIES = {
     query.__name__: query
     for query in (
         op1_mixing,
+        op3_suffix_dedup,
         op4_ngram_jaccard,
         op5_quality_rules,
         op6_pieces,

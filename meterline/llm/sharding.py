@@ -79,13 +79,13 @@ WITH RECURSIVE shards AS (
            ('0x' || substr(md5('shard-' || i || ':skip'), 1, 8))::BIGINT % {TABLE_SIZE - 1} + 1 AS skip
     FROM range({SHARDS}) t(i)
 ), fill(turn, slot, free) AS (
-    SELECT -1::BIGINT, NULL::BIGINT, repeat('1', {TABLE_SIZE})
+    SELECT -1::BIGINT, NULL::BIGINT, repeat('1', {TABLE_SIZE})::BIT
     UNION ALL
-    SELECT turn + 1, found, substr(free, 1, found) || '0' || substr(free, found + 2)
+    SELECT turn + 1, found, set_bit(free, found::INTEGER, 0)
     FROM (
         SELECT turn, free, list_filter(
             list_transform(range({TABLE_SIZE}), lambda j: (begin_at + j * skip) % {TABLE_SIZE}),
-            lambda s: substr(free, s + 1, 1) = '1')[1] AS found
+            lambda s: get_bit(free, s::INTEGER) = 1)[1] AS found
         FROM fill JOIN shards ON i = (turn + 1) % {SHARDS} WHERE turn + 1 < {TABLE_SIZE}
     )
 )

@@ -58,18 +58,18 @@ def _cut(whole_copies: int):
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, whole_copies: int = 0) -> DataFrame:
     """The rows with a struct ``cut``: the text without its spans, its digest, and counts.
 
-    ``spans`` has (row_1, row_2, start, end) in bytes, gathered by document, whose own length
-    bounds them. With ``whole_copies`` the second and later of equal rows lose their whole text if it has
+    ``spans`` has (row_1, start, end) in bytes and possibly row_2; they are gathered by document,
+    whose own length bounds them. With ``whole_copies`` the second and later of equal rows lose their whole text if it has
     so many words. Where a cut falls inside a character, ``kept`` holds the replacement character; the digest
     is of the bytes.
     """
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    gathered = spans.groupBy("row_1", "row_2").agg(
-        F.flatten(F.collect_list(F.array("start", "end"))).alias("spans")
-    ).hint("merge")
+    key = [name for name in ("row_1", "row_2") if name in spans.columns]
+    listed = F.flatten(F.collect_list(F.array("start", "end"))).alias("spans")
+    gathered = spans.groupBy(*key).agg(listed).hint("merge")  # alike at every size
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, *row_key(ids, texts))
-    joined = keyed.join(gathered, ["row_1", "row_2"], "left")
+    joined = keyed.join(gathered, key, "left")
     copy = F.lit(1)
     if whole_copies:
         copy = F.row_number().over(Window.partitionBy("row_1", "row_2").orderBy("row_1"))
