@@ -274,7 +274,8 @@ def _grouped(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
     by_rows, by_grams = F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)
     blocks = sizes.select("component", F.greatest(by_rows, by_grams).alias("blocks"))
-    wanted = members.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted")
+    # Merged at every size, so that the plan on a small table is the plan on a large one.
+    wanted = members.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted").hint("merge")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     grams = texts.mapInArrow(_grams(n), "set_1 bigint, set_2 bigint, grams array<bigint>")
     placed = members.join(blocks, "component").withColumn("block", F.pmod("set_2", "blocks"))
