@@ -10,6 +10,7 @@ from meterline.llm.secrets import op9_secret_scans
 from meterline.llm.sentences import op7_sentence_spans
 from meterline.llm.sharding import OP8_SQL, op8_sharding
 from meterline.llm.suffixes import op3_suffix_dedup
+from meterline.llm.vectors import op10_near_vectors
 
 QUERIES = {
     query.__name__: query
@@ -22,6 +23,7 @@ QUERIES = {
         op7_sentence_spans,
         op8_sharding,
         op9_secret_scans,
+        op10_near_vectors,
     )
 }
 ORACLE_SQL = {"op8_sharding": OP8_SQL}
