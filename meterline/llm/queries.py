@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meterline.llm.chats import OP2_SQL, op2_chat_formatting
 from meterline.llm.jaccard import op4_ngram_jaccard
 from meterline.llm.mixing import op1_mixing
 from meterline.llm.pieces import op6_pieces
@@ -16,6 +17,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_mixing,
+        op2_chat_formatting,
         op3_suffix_dedup,
         op4_ngram_jaccard,
         op5_quality_rules,
@@ -26,4 +28,4 @@ QUERIES = {
         op10_near_vectors,
     )
 }
-ORACLE_SQL = {"op8_sharding": OP8_SQL}
+ORACLE_SQL = {"op2_chat_formatting": OP2_SQL, "op8_sharding": OP8_SQL}
