@@ -111,7 +111,9 @@ def schedule(sources: DataFrame) -> DataFrame:
         "source_no", "source_size", "n_blocks", "passes", "rest", "begin", "end", bits.alias("bits"),
         F.expr(f"explode(sequence(begin div {SLOT_CHUNK}, (end - 1) div {SLOT_CHUNK}))").alias("chunk"),
     )
-    points = chunks.repartition("source_no", "chunk").withColumn(
+    # A number of partitions is given: by their bytes Spark would put all chunks into one task.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = chunks.repartition(tasks, "source_no", "chunk").withColumn(
         "point",
         F.expr(
             f"explode(sequence(greatest(begin, chunk * {SLOT_CHUNK}), "
@@ -184,7 +186,8 @@ class Mix:
         last = F.col("at") + F.col("size") - 1
         blocks = F.when(F.col("size") > 0, F.expr(f"sequence(at div {BLOCK_WORDS}, (at + size - 1) div {BLOCK_WORDS})"))
         parts = self.placed().withColumn("block", F.explode_outer(blocks))
-        joined = parts.join(self.slots, ["source_no", "block"], "left")
+        # Slots grow with the words; Spark's guess of their size would broadcast them.
+        joined = parts.join(self.slots.hint("merge"), ["source_no", "block"], "left")
         begin = F.col("block") * BLOCK_WORDS
         first = F.greatest(F.lit(0), begin - F.col("at"))
         end = F.when(F.col("turn").isNotNull(), F.least(last + 1, begin + F.col("words")) - F.col("at"))
@@ -195,7 +198,8 @@ class Mix:
         row = F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("row")
         carried = self.docs.select(row).select("row", *_sized("row.", self.names))
         here = self.placed(carried).withColumn("block", F.expr(f"at div {BLOCK_WORDS}")).filter("size > 0")
-        taken = here.join(self.slots.select("source_no", "block", "words"), ["source_no", "block"])
+        slots = self.slots.select("source_no", "block", "words").hint("merge")
+        taken = here.join(slots, ["source_no", "block"])
         first_word = F.col("at") - F.col("block") * BLOCK_WORDS
         names = [F.col(f"row.`{c}`").alias(c) for c in self.docs.columns]
         return taken.filter(F.col("words") > first_word).select(*names)
