@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline.operators.usage import USAGE_KEYS
+
 COST = "est_cost_usd"
 
 
@@ -21,14 +23,24 @@ def total_cost(rows: DataFrame) -> DataFrame:
     return rows.agg(_total().alias("total_cost"))
 
 
-def recent_row_cost(rows: DataFrame) -> DataFrame:
-    """Cost of a single row of the latest month, its costliest one; 0 for no rows.
+def _row_order() -> Column:
+    """Places a row by month, then by its keys; NULL keys come before others."""
+    text = [F.coalesce(F.col(key).cast("string"), F.lit("")) for key in USAGE_KEYS]
+    known = [F.col(key).isNotNull() for key in USAGE_KEYS]
+    keys = [one for pair in zip(known, text, strict=True) for one in pair]
+    return F.struct("year", "month", *keys)
+
 
-    Which row of that month counts as last is a matter of taste. The costliest needs only
-    a maximum per month, which tasks combine before the shuffle, and no sort of the rows.
-    """
-    months = rows.groupBy("year", "month").agg(F.max(COST).alias("row_cost"))
-    return months.agg(_latest("row_cost").alias("recent_cost"))
+def last_row(rows: DataFrame) -> DataFrame:
+    """The whole last row by year, month and the six keys; no rows give none."""
+    keys = [F.desc_nulls_last(key) for key in USAGE_KEYS]
+    return rows.orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("month"), *keys).limit(1)
+
+
+def recent_row_cost(rows: DataFrame) -> DataFrame:
+    """Cost of the row that ``last_row`` gives, 0 for no rows; a maximum, so nothing is sorted."""
+    dated = F.when(F.col("year").isNotNull() & F.col("month").isNotNull(), _row_order())
+    return rows.agg(F.coalesce(F.max_by(COST, dated), F.lit(0.0)).alias("recent_cost"))
 
 
 def last_period_cost(rows: DataFrame) -> DataFrame:
@@ -46,15 +58,15 @@ def active_tenants(rows: DataFrame, approximate: bool = False) -> DataFrame:
 def kpi_row(rows: DataFrame) -> DataFrame:
     """The three header figures in one pass: by tenant and month first, then over those."""
     months = rows.groupBy("tenant_name", "year", "month").agg(
-        F.sum(COST).alias(COST), F.max(COST).alias("row_cost")
+        F.sum(COST).alias(COST), F.max(F.struct(_row_order().alias("place"), COST)).alias("row")
     )
     periods = months.groupBy("tenant_name").agg(
         F.sum(COST).alias(COST),
-        F.max(F.struct("year", "month", "row_cost")).alias("latest"),
+        F.max("row").alias("latest"),
     )
     return periods.agg(
         _total().alias("total_cost"),
-        F.coalesce(F.max("latest")["row_cost"], F.lit(0.0)).alias("recent_cost"),
+        F.coalesce(F.max("latest")[COST], F.lit(0.0)).alias("recent_cost"),
         F.count("tenant_name").alias("active_tenants"),
     )
 

@@ -31,6 +31,7 @@ USAGE_COLUMNS = (
 # What usage is summed by, besides the day or the month.
 USAGE_KEYS = ("tenant_name", "sku_name", "usage_type", "usage_unit", "region", "node_type")
 
+# Names and predicates of the rules.
 DAILY_CONSTRAINTS = (
     expect_or_drop("usage_unit_is_dbu", "usage_unit = 'DBU'"),
     expect_or_drop("usage_quantity_positive", "total_dbu > 0"),
@@ -51,6 +52,7 @@ def tenant_in_list(tenants: Iterable[str]) -> Column:
 
 
 def record_constraints(tenants: Iterable[str]) -> tuple[Constraint, ...]:
+    # Names and predicates of the rules.
     return (
         expect_or_drop("record_id_not_null", "record_id IS NOT NULL"),
         expect_or_drop("usage_quantity_non_negative", "usage_quantity >= 0"),

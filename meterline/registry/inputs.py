@@ -1,10 +1,9 @@
-"""Billing inputs derived from the test tables, always from the whole of them."""
+"""Billing inputs derived from the test tables, from all their rows and whole texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from meterline.operators.fx import fx_pair_filter
 from meterline.operators.measures import cost_by_tenant
@@ -17,15 +16,8 @@ TOP_K = 5
 VECTORS_PER_BODY = 8
 
 
-_schemas: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; its footer is read for the schema the first time only."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _node_type() -> Column:
@@ -106,7 +98,10 @@ def pair_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk per vector, with the whole text of the document of that id where there is one."""
+    """A chunk for each document and each vector, matched by id, with the document's whole text.
+
+    A document without a vector has no tenant; a vector without a document has no text.
+    """
     labels, documents = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     label = F.col("label")
@@ -114,9 +109,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, tenant in enumerate(TENANTS):
         named = named.when(label == number, tenant)
     tenant_name = named.otherwise(F.concat(F.lit("TENANT_"), label.cast("string")))
-    joined = labels.join(documents.select("doc_id", "text"), F.col("vec_id") == F.col("doc_id"), "left")
+    same = F.col("vec_id") == F.col("doc_id")
+    joined = documents.select("doc_id", "text").join(labels.select("vec_id", "label"), same, "full")
     return joined.join(regions, label % 5 == F.col("r_regionkey"), "left").select(
-        F.col("vec_id").alias("chunk_id"),
+        F.coalesce("doc_id", "vec_id").alias("chunk_id"),
         tenant_name.alias("tenant_name"),
         "region",
         F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("text"),
@@ -130,10 +126,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a question, with the vector of its id."""
+    """Every benchmark item as a question, with the vector of its id where there is one."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return asked.join(vectors, F.col("item_id") == F.col("vec_id")).select(
+    return asked.join(vectors, F.col("item_id") == F.col("vec_id"), "left").select(
         F.col("item_id").alias("question_id"), "question", "embedding"
     )
 
@@ -218,3 +214,20 @@ def chat_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("turn") % 3
     body = F.when(shape == 0, choice(text)).when(shape == 1, choice(parts)).otherwise(several)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+
+
+def mixed_embedding_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding responses, every third of which has its vectors under an unknown name."""
+    bodies = embedding_bodies(spark, sf_dir)
+    unknown = F.concat(F.lit('{"points": '), F.col("request_id").cast("string"), F.lit("}"))
+    return bodies.select("request_id", F.when(F.col("request_id") % 3 == 0, unknown).otherwise(F.col("body")).alias("body"))
+
+
+def mixed_chat_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat responses, those of assistants without choices."""
+    bodies = chat_bodies(spark, sf_dir).join(
+        table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"]
+    )
+    unknown = F.concat(F.lit('{"error": '), F.col("turn").cast("string"), F.lit("}"))
+    body = F.when(F.col("role") == "assistant", unknown).otherwise(F.col("body"))
+    return bodies.select("conv_id", "turn", body.alias("body"))

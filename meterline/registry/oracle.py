@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from meterline.functions.text import (
-    CLOSING,
-    CONTEXT_HEADING,
-    QUESTION_HEADING,
-    SYSTEM_TEXT,
-    WHITESPACE,
+# Fixed values, spelled out here so that a wrong one in the library is seen.
+SYSTEM_TEXT = (
+    "You are a tenant-billing analyst.\n"
+    "Explain monthly usage and cost per tenant in clear English, "
+    "and focus on business insights (spikes, anomalies, top SKUs, regions).\n"
 )
+CONTEXT_HEADING = "# Context (tenant monthly usage rows)\n"
+QUESTION_HEADING = "# User question\n"
+CLOSING = "# Answer in business terms, focusing on tenant-level usage & cost insights.\n"
+WHITESPACE_CODES = (
+    *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288
+)
 
 _KEYS = "tenant_name, sku_name, usage_type, usage_unit, region, node_type"
 _GOLD = f"year, month, {_KEYS}, monthly_dbu, est_cost_usd, monthly_records"
-_SPACES = " || ".join(f"chr({ord(char)})" for char in WHITESPACE)
+_SPACES = " || ".join(f"chr({code})" for code in WHITESPACE_CODES)
 
 
 def _text(value: str) -> str:
@@ -51,6 +56,11 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         sum(usage_quantity) AS total_dbu, count(DISTINCT record_id) AS record_cnt
         FROM usage GROUP BY ALL""",
     ),
+    "daily": (
+        ("bronze",),
+        f"""SELECT CAST(usage_date AS DATE) AS usage_date, {_KEYS},
+        sum(usage_quantity) AS total_dbu FROM bronze GROUP BY ALL""",
+    ),
     "silver": (
         ("bronze",),
         f"""SELECT CAST(usage_date AS DATE) AS usage_date, {_KEYS},
@@ -109,19 +119,19 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "chunks": (
         (),
-        """SELECT vec_id AS chunk_id, CASE WHEN label = 0 THEN 'AUTOMOBILE'
+        """SELECT coalesce(doc_id, vec_id) AS chunk_id, CASE WHEN label = 0 THEN 'AUTOMOBILE'
         WHEN label = 1 THEN 'BUILDING' WHEN label = 2 THEN 'FURNITURE'
         WHEN label = 3 THEN 'HOUSEHOLD' WHEN label = 4 THEN NULL WHEN label = 5 THEN ''
         ELSE 'TENANT_' || label END AS tenant_name, r_name AS region,
         '  ' || text || chr(10) AS text, CAST(embedding AS DOUBLE[]) AS embedding
-        FROM embeddings LEFT JOIN documents ON vec_id = doc_id
+        FROM embeddings FULL JOIN documents ON vec_id = doc_id
         LEFT JOIN region ON label % 5 = r_regionkey""",
     ),
     "questions": (
         (),
         """SELECT item_id AS question_id, text AS question,
         CAST(embedding AS DOUBLE[]) AS embedding
-        FROM benchmark JOIN embeddings ON item_id = vec_id""",
+        FROM benchmark LEFT JOIN embeddings ON item_id = vec_id""",
     ),
     "found": (
         ("chunks", "questions"),
@@ -129,7 +139,8 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS hit_rank
         FROM (SELECT question_id, chunk_id,
         round(list_cosine_similarity(q.embedding, c.embedding), 6) AS score
-        FROM questions q CROSS JOIN chunks c) QUALIFY hit_rank <= 5""",
+        FROM questions q CROSS JOIN chunks c
+        WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL) QUALIFY hit_rank <= 5""",
     ),
     "scored": (
         ("found", "chunks"),
@@ -211,8 +222,39 @@ def _violations(part: str, rules: dict[str, str], action: str | None) -> str:
     return _sql(" UNION ALL ".join(rows).replace("AS constraint", 'AS "constraint"'), part)
 
 
+# Names and predicates of the rules.
+_RECORD_RULES = {
+    "record_id_not_null": "record_id IS NOT NULL",
+    "usage_quantity_non_negative": "usage_quantity >= 0",
+    "valid_tenant_name": "tenant_name IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')",
+}
+_DAILY_RULES = {
+    "usage_unit_is_dbu": "usage_unit = 'DBU'",
+    "usage_quantity_positive": "total_dbu > 0",
+    "tenant_not_null": "tenant_name IS NOT NULL",
+    "usage_date_not_null": "usage_date IS NOT NULL",
+}
+_COST_RULES = {"estimated_cost_non_negative": "est_cost_usd >= 0"}
+
+
+def _report() -> str:
+    """All rules of a refresh, each over the rows that reach its stage."""
+    rows = [
+        f"""SELECT '{name}' AS "constraint", '{stage}' AS stage, '{action}' AS action, count(*) AS n_rows,
+        count(*) FILTER (NOT coalesce({rule}, FALSE)) AS n_failed FROM {part}"""
+        for stage, part, action, rules in (
+            ("bronze", "usage", "drop", _RECORD_RULES),
+            ("silver", "daily", "drop", _DAILY_RULES),
+            ("gold", "gold", "warn", _COST_RULES),
+        )
+        for name, rule in rules.items()
+    ]
+    return _sql(" UNION ALL ".join(rows), "usage", "daily", "gold")
+
+
 _LATEST = """(SELECT est_cost_usd FROM rows_
-ORDER BY year DESC, month DESC, est_cost_usd DESC LIMIT 1)"""
+ORDER BY year DESC, month DESC, tenant_name DESC, sku_name DESC, usage_type DESC,
+usage_unit DESC, region DESC, node_type DESC LIMIT 1)"""
 
 
 def _latest(part: str) -> str:
@@ -241,15 +283,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "select_existing": _all("usage"),
     "expect_or_drop": _all("bronze"),
-    "record_violations": _violations(
-        "usage",
-        {
-            "record_id_not_null": "record_id IS NOT NULL",
-            "usage_quantity_non_negative": "usage_quantity >= 0",
-            "valid_tenant_name": "tenant_name IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')",
-        },
-        "drop",
-    ),
+    "record_violations": _violations("usage", _RECORD_RULES, "drop"),
     "tenant_in_list": _sql(
         """SELECT tenant_name, tenant_name IN ('BUILDING', 'FURNITURE') AS listed,
         count(*) AS n_records FROM usage GROUP BY 1, 2""",
@@ -258,16 +292,7 @@ ORACLE_SQL: dict[str, str] = {
     "normalise_date": _all("usage", "record_id, CAST(usage_date AS DATE) AS usage_date"),
     "daily_usage": _all("silver"),
     "daily_usage_unchecked": _all("daily_all"),
-    "silver_violations": _violations(
-        "daily_all",
-        {
-            "usage_unit_is_dbu": "usage_unit = 'DBU'",
-            "usage_quantity_positive": "total_dbu > 0",
-            "tenant_not_null": "tenant_name IS NOT NULL",
-            "usage_date_not_null": "usage_date IS NOT NULL",
-        },
-        "drop",
-    ),
+    "silver_violations": _violations("daily_all", _DAILY_RULES, "drop"),
     "year_month": _all(
         "silver",
         """*, CAST(year(usage_date) AS INTEGER) AS year,
@@ -283,7 +308,7 @@ ORACLE_SQL: dict[str, str] = {
         "monthly",
         "price",
     ),
-    "expect": _violations("gold", {"estimated_cost_non_negative": "est_cost_usd >= 0"}, None),
+    "expect": _violations("gold", _COST_RULES, None),
     "query_df": _sql(
         """SELECT region, year, sum(monthly_dbu) AS dbu, count(*) AS n_rows FROM gold
         GROUP BY region, year""",
@@ -307,7 +332,11 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "total_cost": _all("selected", "coalesce(sum(est_cost_usd), 0.0::DOUBLE) AS total_cost"),
     "recent_cost": _sql(f"SELECT {_latest('selected')} AS recent_cost", "selected"),
-    "last_row": _sql(f"SELECT {_latest('gold')} AS recent_cost", "gold"),
+    "last_row": _sql(
+        """SELECT * FROM gold ORDER BY year DESC, month DESC, tenant_name DESC, sku_name DESC,
+        usage_type DESC, usage_unit DESC, region DESC, node_type DESC LIMIT 1""",
+        "gold",
+    ),
     "last_period_cost": _sql(
         """SELECT sum(est_cost_usd) AS last_period_cost FROM chosen
         WHERE year * 100 + month = (SELECT max(year * 100 + month) FROM chosen)""",
@@ -326,9 +355,21 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "detail_rows": _all("selected") + " ORDER BY year, month, tenant_name",
     "fx_pair_filter": _all("pair_ticks", _RATES),
+    "fx_latest_cost": _sql(
+        f"""SELECT gold.*, {_RATES}, est_cost_usd * fx_rate AS est_cost_krw FROM gold CROSS JOIN
+        (SELECT {_RATES} FROM pair_ticks WHERE as_of_ts IS NOT NULL AND fx_rate IS NOT NULL
+        ORDER BY as_of_ts DESC, fx_rate DESC LIMIT 1)""",
+        "gold",
+        "pair_ticks",
+    ),
     "fx_cross_join": _all("krw"),
     "fx_cross_join_grid": _all("krw"),
     "stream_fx_files": _all("ticks", _RATES),
+    "stream_fx_lines": """SELECT CASE WHEN event_type NOT IN ('view', 'error') THEN 'USD' END AS base_ccy,
+        CASE WHEN event_type <> 'error' THEN value END AS fx_rate,
+        CASE event_type WHEN 'error' THEN 'no rate ' || event_id WHEN 'view' THEN
+        CASE WHEN value IS NULL THEN '{"desk":' ELSE '{"fx_rate":' || value || ',"desk":' END
+        || event_id || '}' END AS _rescued FROM events""",
     "stream_dataset": _all("pair_ticks", _RATES),
     "append_stream": _all("krw"),
     "vector_top_k": _all("found"),
@@ -394,8 +435,14 @@ ORACLE_SQL: dict[str, str] = {
         CAST(vec_id % 8 AS INTEGER) AS position, CAST(dimension - 1 AS INTEGER) AS dimension,
         CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS value,
         generate_subscripts(embedding, 1) AS dimension FROM embeddings)""",
+    "undecoded_embeddings": """SELECT DISTINCT vec_id // 8 AS request_id,
+        '{"points": ' || (vec_id // 8) || '}' AS body FROM embeddings WHERE (vec_id // 8) % 3 = 0""",
     "decode_completion": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text
-        WHEN 1 THEN 'parts' ELSE 'whole body' END AS answer FROM conversations""",
+        WHEN 1 THEN 'text|' || substring(text, 1, length(text) // 2) || '|image|not text|text|'
+        || substring(text, length(text) // 2 + 1)
+        ELSE 'tool|looked up|' || role || '|' || text END AS answer FROM conversations""",
+    "unnormalised_messages": """SELECT conv_id, turn, '{"error": ' || turn || '}' AS body
+        FROM conversations WHERE role = 'assistant'""",
     "normalise_message": """SELECT conv_id, turn,
         CAST(CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) AS position, role,
         text AS content FROM conversations
@@ -412,6 +459,7 @@ ORACLE_SQL: dict[str, str] = {
         "prompts",
     ),
     "materialize": _all("gold"),
+    "refresh_report": _report(),
     "use_namespace": _all("price"),
     "reset_guard": _sql("SELECT TRUE AS refused, count(*) AS n_rows FROM price", "price"),
     "temp_view": _all("gold"),

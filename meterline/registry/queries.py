@@ -222,8 +222,8 @@ def recent_cost(spark, sf_dir):
 
 @query
 def last_row(spark, sf_dir):
-    """The last row of the whole table."""
-    return measures.recent_row_cost(inputs.gold(spark, sf_dir))
+    """The last row of the whole table, with all its columns."""
+    return measures.last_row(inputs.gold(spark, sf_dir))
 
 
 @query
@@ -271,31 +271,31 @@ def fx_pair_filter(spark, sf_dir):
     return inputs.pair_ticks(spark, sf_dir)
 
 
+@query
+def fx_latest_cost(spark, sf_dir):
+    """Every monthly row at the latest rate of the pair."""
+    return _plain_time(fx.cost_at_latest(inputs.gold(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)))
+
+
 @query
 def fx_cross_join(spark, sf_dir):
     """Cost of every tenant at every tick of the pair.
 
     The monthly rows are summed per tenant before they meet the ticks, since the rate is a
     factor of the sum; the result has ticks x tenants rows instead of ticks x monthly rows.
+    The many ticks are dealt out and the few sums copied to them.
     """
-    costs, ticks = _stored_tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
-    return fx.cost_per_tick(costs, ticks)
+    costs, ticks = inputs.tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
+    return fx.cost_per_tick(costs, ticks, cost_slices=1, tick_slices=16)
 
 
 @query
 def fx_cross_join_grid(spark, sf_dir):
-    """The same by the way for two large sides."""
+    """The same with both sides dealt out."""
     costs, ticks = inputs.tenant_costs(spark, sf_dir), inputs.pair_ticks(spark, sf_dir)
     return fx.cost_per_tick(costs, ticks, cost_slices=2, tick_slices=16)
 
 
-def _stored_tenant_costs(spark, sf_dir) -> DataFrame:
-    """Written out, so that Spark knows the size of this small side before it plans the join."""
-    folder = scratch_dir(spark, "tenant-costs")
-    inputs.tenant_costs(spark, sf_dir).write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
 def _fx_files(spark, sf_dir) -> str:
     """All events as rate files in JSON lines."""
     folder = scratch_dir(spark, "fx-json")
@@ -320,6 +320,20 @@ def stream_fx_files(spark, sf_dir):
     return _plain_time(_stored(spark, fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir))))
 
 
+@query
+def stream_fx_lines(spark, sf_dir):
+    """All events as lines, those of one type with a further field and some that are no JSON."""
+    folder = scratch_dir(spark, "fx-lines")
+    event = inputs.table(spark, sf_dir, "events")
+    rate = F.to_json(F.struct(F.lit("USD").alias("base_ccy"), F.col("value").alias("fx_rate")))
+    more = F.to_json(F.struct(F.col("value").alias("fx_rate"), F.col("event_id").alias("desk")))
+    bad = F.concat(F.lit("no rate "), F.col("event_id").cast("string"))
+    kind = F.col("event_type")
+    event.select(F.when(kind == "view", more).when(kind == "error", bad).otherwise(rate)).write.text(folder)
+    lines = _stored(spark, fx_streams.fx_line_stream(spark, folder))
+    return lines.select("base_ccy", "fx_rate", "_rescued")
+
+
 @query
 def stream_dataset(spark, sf_dir):
     """Stored rates read as a stream, through a streaming view of one pair."""
@@ -335,7 +349,7 @@ def stream_dataset(spark, sf_dir):
 def append_stream(spark, sf_dir):
     """Rate files to stored costs of every tenant at every tick."""
     arriving = fx.fx_pair_filter(fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir)))
-    costs = _stored_tenant_costs(spark, sf_dir)
+    costs = inputs.tenant_costs(spark, sf_dir)
     converted = fx_streams.stream_converted_cost(costs, arriving)
     return _plain_time(_stored(spark, converted))
 
@@ -345,7 +359,9 @@ def append_stream(spark, sf_dir):
 
 @query
 def vector_top_k_query(spark, sf_dir):
-    return vector_top_k(inputs.vectors(spark, sf_dir), inputs.questions(spark, sf_dir), inputs.TOP_K)
+    """The benchmark's questions, broadcast."""
+    chunks, questions = inputs.vectors(spark, sf_dir), inputs.questions(spark, sf_dir)
+    return vector_top_k(chunks, questions, inputs.TOP_K, layout="broadcast")
 
 
 QUERIES["vector_top_k"] = QUERIES.pop("vector_top_k_query")
@@ -356,7 +372,7 @@ def vector_top_k_grid(spark, sf_dir):
     """Every vector asks for its neighbours, by the way for question sets too large to broadcast."""
     chunks = inputs.vectors(spark, sf_dir)
     questions = chunks.withColumnRenamed("chunk_id", "question_id")
-    return vector_top_k(chunks, questions, inputs.TOP_K, broadcast_entries=0)
+    return vector_top_k(chunks, questions, inputs.TOP_K)
 
 
 @query
@@ -509,13 +525,34 @@ def decode_embeddings(spark, sf_dir):
     ).withColumn("value", F.col("value").cast("double"))
 
 
+@query
+def undecoded_embeddings(spark, sf_dir):
+    """Bodies of no known shape among those of known ones."""
+    return responses.undecoded_embeddings(inputs.mixed_embedding_bodies(spark, sf_dir))
+
+
 @query
 def decode_completion(spark, sf_dir):
-    """Text content comes out as it is; for the other shapes only their kind is compared."""
+    """Text content comes out as it is, parts and whole bodies as the JSON that they are."""
     decoded = responses.decode_completion(inputs.chat_bodies(spark, sf_dir))
-    shown = F.when(F.col("answer").startswith('{"messages":'), F.lit("whole body"))
-    parts = F.col("answer").startswith('[{"text":') | F.col("answer").startswith('[{"type":')
-    return decoded.select("conv_id", "turn", shown.when(parts, F.lit("parts")).otherwise(F.col("answer")).alias("answer"))
+    parts = F.from_json("answer", "array<struct<type:string,text:string>>")
+    whole = F.from_json("answer", "struct<messages:array<struct<role:string,content:string>>>")
+    line = F.lit("|")
+    shown = (
+        F.when(F.col("turn") % 3 == 1, F.array_join(F.transform(parts, lambda p: F.concat(p.type, line, p.text)), "|"))
+        .when(
+            F.col("turn") % 3 == 2,
+            F.array_join(F.transform(whole.messages, lambda m: F.concat(m.role, line, m.content)), "|"),
+        )
+        .otherwise(F.col("answer"))
+    )
+    return decoded.select("conv_id", "turn", shown.alias("answer"))
+
+
+@query
+def unnormalised_messages(spark, sf_dir):
+    """Bodies without messages or choices among chat responses."""
+    return responses.unnormalised_messages(inputs.mixed_chat_bodies(spark, sf_dir))
 
 
 @query
@@ -590,6 +627,17 @@ def materialize(spark, sf_dir):
     return stored.select(*billing.GOLD_COLUMNS)
 
 
+@query
+def refresh_report(spark, sf_dir):
+    """Rules of a full refresh into a schema of its own."""
+    schema = f"meterline_{scratch_dir(spark, 'db').rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{scratch_dir(spark, 'schema')}'")
+    settings = Settings(f"{schema}.usage_records", inputs.TENANTS, schema=schema)
+    sinks.materialize(inputs.usage(spark, sf_dir), settings.source_table)
+    sinks.materialize(inputs.price(spark, sf_dir), settings.qualified(settings.price_table))
+    return medallion.refresh_reported(spark, settings).report
+
+
 @query
 def use_namespace(spark, sf_dir):
     """Prices stored in a schema and read by an unqualified name."""

@@ -62,6 +62,8 @@ class Settings:
         return cls(**{**found, **overrides})
 
     def qualified(self, table: str) -> str:
-        """Table name with the catalog and schema that are set."""
+        """Table name with the catalog and schema that are set; a name that has its own keeps it."""
+        if "." in table:
+            return table
         parts = [self.catalog, self.schema, table]
         return ".".join(f"`{part}`" for part in parts if part)

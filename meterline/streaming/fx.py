@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +24,11 @@ FX_SCHEMA = T.StructType(
     ]
 )
 CORRUPT = "_corrupt_record"
+#: Text of a line whose content the fields of a rate do not hold in full.
+RESCUED = "_rescued"
+#: Files that one micro-batch takes in, unless told otherwise.
+MAX_FILES = 100
+RATE_DAY = "as_of_date"
 
 
 def infer_schema(spark: SparkSession, path: str) -> T.StructType:
@@ -51,6 +59,30 @@ def fx_file_stream(
     return reader.json(path)
 
 
+def fx_line_stream(
+    spark: SparkSession, path: str, max_files: int | None = MAX_FILES, glob: str | None = None
+) -> DataFrame:
+    """New files of JSON lines as rates; what the four fields cannot hold stays as text.
+
+    ``_rescued`` is the whole line if it is no JSON object, has further fields, or has a value
+    that is not of its field's type, and NULL otherwise. Empty lines are skipped.
+    """
+    reader = spark.readStream
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.text(path).filter(F.trim("value") != "")
+    rate = F.from_json("value", FX_SCHEMA).alias("rate")
+    keys = F.json_object_keys("value")
+    further = F.size(F.array_except(keys, F.array(*map(F.lit, FX_SCHEMA.names)))) > 0
+    unread = F.lit(False)
+    for name in FX_SCHEMA.names:
+        unread = unread | (F.get_json_object("value", f"$.{name}").isNotNull() & F.col(f"rate.{name}").isNull())
+    rescued = F.when(keys.isNull() | further | unread, F.col("value")).alias(RESCUED)
+    return lines.select("value", rate).select("rate.*", rescued)
+
+
 def stream_dataset(spark: SparkSession, name: str) -> DataFrame:
     """A stored streaming table or a streaming view, read as a stream."""
     return spark.readStream.table(name)
@@ -62,8 +94,9 @@ def append_stream(
     table: str | None = None,
     path: str | None = None,
     available_now: bool = True,
+    partition_by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Append every micro-batch to a table or a folder.
+    """Append every micro-batch to a table or a folder, partitioned if asked for.
 
     The checkpoint and the log of the sink make a restart continue where it stopped,
     without losing or repeating rows.
@@ -72,6 +105,8 @@ def append_stream(
         raise ValueError("give either a table or a path")
     writer = stream.writeStream.outputMode("append").format("parquet")
     writer = writer.option("checkpointLocation", checkpoint)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.toTable(table) if table is not None else writer.start(path)
@@ -80,9 +115,9 @@ def append_stream(
 def stream_converted_cost(costs: DataFrame, ticks: DataFrame) -> DataFrame:
     """Every new tick with every cost row; each tick appends a full copy of ``costs``.
 
-    Every micro-batch is planned by the size of its own files, so the few new ticks are
-    broadcast and the cost table is read where it lies; ``max_files`` of the source bounds
-    them. New rows of the cost table are seen by the next micro-batch.
+    The costs are dealt evenly over the tasks and the ticks of a micro-batch, which
+    ``max_files`` of the source bounds, are copied to them. New rows of the cost table are
+    seen by the next micro-batch.
     """
     return cost_per_tick(costs, ticks)
 
@@ -94,23 +129,30 @@ def run_fx(
     settings: Settings | None = None,
     base: str = "USD",
     quote: str = "KRW",
+    max_files: int = MAX_FILES,
 ) -> DataFrame:
     """Take in all new rate files and append the converted monthly costs.
 
-    Rate files -> rate table -> view of one pair -> costs of the monthly table. Returns the
-    stored costs. Call it again when new files have arrived.
+    Rate files -> rate table -> view of one pair -> costs of the monthly table, all in the
+    catalog and schema that are set. Lines that are no rates stay in the rate table as text.
+    The costs are partitioned by day of the rate. Returns the stored costs. Call it again when
+    new files have arrived.
     """
     settings = settings or Settings.load(spark)
+    rate_table, cost_table = settings.qualified(names.FX_TABLE), settings.qualified(names.FX_COST_TABLE)
     append_stream(
-        fx_file_stream(spark, fx_path), f"{checkpoint_root}/{names.FX_TABLE}", table=names.FX_TABLE
+        fx_line_stream(spark, fx_path, max_files), f"{checkpoint_root}/{names.FX_TABLE}", table=rate_table
     ).awaitTermination()
-    rates = stream_dataset(spark, names.FX_TABLE)
+    rates = stream_dataset(spark, rate_table).select(*FX_SCHEMA.names)
     temp_view(fx_pair_filter(rates, base, quote), names.FX_PAIR_VIEW)
     temp_view(spark.read.table(settings.qualified(settings.gold_table)), names.GOLD_VIEW)
     converted = stream_converted_cost(
         spark.read.table(names.GOLD_VIEW), stream_dataset(spark, names.FX_PAIR_VIEW)
     )
     append_stream(
-        converted, f"{checkpoint_root}/{names.FX_COST_TABLE}", table=names.FX_COST_TABLE
+        converted.withColumn(RATE_DAY, F.to_date("as_of_ts")),
+        f"{checkpoint_root}/{names.FX_COST_TABLE}",
+        table=cost_table,
+        partition_by=(RATE_DAY,),
     ).awaitTermination()
-    return spark.read.table(names.FX_COST_TABLE)
+    return spark.read.table(cost_table)

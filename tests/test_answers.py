@@ -144,3 +144,72 @@ def test_functions_must_answer_every_row(spark):
 def test_undecodable_answers_come_back_whole(spark):
     df = spark.createDataFrame([("x",)], "prompt string")
     assert generate(df, lambda talks, temperature: ["oops"]).first().answer == "oops"
+
+
+@pytest.mark.parametrize("layout", ["grid", "broadcast"])
+def test_each_question_is_embedded_once(spark, tmp_path, layout):
+    """Both outputs are collected; every call of the embedding function leaves a line."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def embed(texts):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def chat(talks, temperature):
+        return ['{"choices": [{"message": {"content": "yes"}}]}' for _ in talks]
+
+    chunks = spark.createDataFrame(
+        [(i, "t", "r", f"text {i}", [float(i), 1.0]) for i in range(20)],
+        "chunk_id long, tenant_name string, region string, text string, embedding array<double>",
+    )
+    asked = [(i, f"question {i}") for i in range(10)]
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    replies, citations = answers.answer(chunks, questions, chat, 3, embed, layout=layout)
+    assert replies.count() == 10 and citations.count() == 10
+    seen = [line for call in log.iterdir() for line in call.read_text().splitlines()]
+    assert sorted(seen) == sorted(q for _, q in asked)
+
+
+def test_hits_without_a_text_row_are_kept(spark):
+    chunks = spark.createDataFrame([(1, "t", "r", "one")], "chunk_id long, tenant_name string, region string, text string")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame([(7, [1.0])], "question_id long, embedding array<double>")
+    hits = answers.retrieve(chunks, questions, 2, vectors=vectors)
+    found = sorted((h.row_id, h.chunk_text, h.tenant_key) for h in hits.collect())
+    assert found == [(1, "one", "t"), (2, "", "(unknown-tenant)")]
+
+
+def _murmur3(data: bytes, seed: int = 42) -> int:
+    """Hash of words as the feature hashing uses it, signed 32 bits, whole words of four bytes first."""
+    mask = 0xFFFFFFFF
+    rotate = lambda x, n: ((x << n) | (x >> (32 - n))) & mask
+    value = seed
+    whole = len(data) // 4 * 4
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    for block in blocks:
+        value ^= rotate(block * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        value = (rotate(value, 13) * 5 + 0xE6546B64) & mask
+    if len(data) > whole:
+        tail = int.from_bytes(data[whole:], "little")
+        value ^= rotate(tail * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    value ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        value = (value ^ (value >> shift)) * factor & mask
+    value ^= value >> 16
+    return value - (1 << 32) if value >> 31 else value
+
+
+def test_hashed_vector_by_content(spark):
+    from meterline.functions.models import embed_texts
+
+    df = spark.createDataFrame([("Costs rose; costs of spark fell.",), ("",)], "text string")
+    have = [r.embedding for r in embed_texts(df, "text").collect()]
+    want = [0.0] * 256
+    for word in "costs rose costs of spark fell".split():
+        want[_murmur3(word.encode()) % 256] += 1.0
+    norm = sum(x * x for x in want) ** 0.5
+    assert have[0] == pytest.approx([x / norm for x in want], abs=1e-6)
+    assert have[1] == [0.0] * 256

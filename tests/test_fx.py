@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline import settings as names
-from meterline.operators.fx import convert_cost, cost_per_tick, fx_pair_filter
+from meterline.operators.fx import convert_cost, cost_at_latest, cost_per_tick, fx_pair_filter
 from meterline.sinks import materialize
 from meterline.streaming import fx as streams
 
@@ -27,7 +27,7 @@ def ticks(spark):
     )
 
 
-@pytest.mark.parametrize("slices", [(1, 1), (1, 7), (6, 1), (5, 3)])
+@pytest.mark.parametrize("slices", [(None, 1), (1, 7), (6, 1), (5, 3)])
 def test_grid_gives_every_pair_once(costs, ticks, rows, slices):
     want = convert_cost(costs.crossJoin(ticks))
     have = cost_per_tick(costs, ticks, *slices)
@@ -52,12 +52,29 @@ def test_whole_monthly_table_at_few_ticks(spark, ticks, rows):
     assert rows(have) == rows(want)
 
 
-def test_small_side_is_broadcast_and_copies_never_are(costs, ticks):
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    stored = costs.coalesce(1)
-    assert "BroadcastHashJoin" in plan(cost_per_tick(stored, ticks.coalesce(1).hint("broadcast")))
-    sliced = plan(cost_per_tick(stored, ticks, 4, 2))
-    assert "SortMergeJoin" in sliced and "Broadcast" not in sliced
+def test_default_spreads_the_costs(spark, costs, ticks):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        many = cost_per_tick(costs.union(costs).union(costs), ticks)
+        busy = many.groupBy(F.spark_partition_id()).count().collect()
+        assert len(busy) > 3 and max(r["count"] for r in busy) < many.count() * 0.6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_latest_rate_for_every_cost_row(spark, costs, ticks, rows):
+    late = spark.createDataFrame(
+        [("2024-02-01", "USD", "KRW", 2.0), ("2024-02-01", "USD", "KRW", 3.0), ("2024-03-01", "USD", "KRW", None)], TICKS
+    )
+    have = cost_at_latest(costs, ticks.union(late))
+    assert have.columns == [*costs.columns, *ticks.columns, "est_cost_krw"]
+    assert rows(have) == rows(convert_cost(costs.crossJoin(late.filter("fx_rate = 3"))))
+    plan = have._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    none = cost_at_latest(costs, ticks.limit(0)).collect()
+    assert len(none) == 40 and all(r.est_cost_krw is None for r in none)
 
 
 def test_pair_filter(spark):
@@ -88,6 +105,18 @@ def test_bad_lines_integers_and_files_of_other_names(spark, tmp_path):
     assert [r._corrupt_record for r in found if r.fx_rate is None] == ["not json"]
 
 
+def test_lines_lose_nothing(spark, tmp_path):
+    source = tmp_path / "in"
+    further, wrong = {**rate(2, 1.5), "desk": "a"}, {**rate(3, 0), "fx_rate": "many"}
+    write_lines(source, "a.json", rate(1, 1400), "not json", further, wrong, "", [1])
+    stream = streams.fx_line_stream(spark, str(source))
+    target = tmp_path / "out"
+    streams.append_stream(stream, str(tmp_path / "progress"), path=str(target)).awaitTermination()
+    found = sorted(((r.fx_rate, r._rescued) for r in spark.read.parquet(str(target)).collect()), key=repr)
+    texts = ["not json", json.dumps(wrong), "[1]"]
+    assert found == sorted([(1400.0, None), (1.5, json.dumps(further)), *((None, t) for t in texts)], key=repr)
+
+
 def test_inferred_schema(spark, tmp_path):
     write_lines(tmp_path / "in", "a.json", {**rate(1, 1400.5), "source": "desk"})
     stream = streams.fx_file_stream(spark, str(tmp_path / "in"), schema=None)

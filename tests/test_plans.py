@@ -1,5 +1,9 @@
 """The plans that large inputs depend on."""
 
+from pyspark.sql import functions as F
+
+from meterline.plans import answers
+from meterline.registry import inputs
 from meterline.registry.queries import QUERIES
 from tests.conftest import SF_DIR
 
@@ -23,11 +27,19 @@ def test_distinct_count_is_spread_by_record(spark):
 
 
 def test_search_shuffles_hits_not_texts(spark):
-    text = plan(QUERIES["answer_prompts"](spark, SF_DIR))
-    below_shuffle = text[text.index("BroadcastHashJoin [chunk_id") :]
-    assert below_shuffle.count("Exchange hashpartitioning") == 1
-    assert text.count("MapInArrow") == 1
-
+    """Texts are filtered by the stored hits where they are read, before any exchange."""
+    none = F.lit(None).cast("string")
+    documents = inputs.table(spark, SF_DIR, "documents")
+    chunks = documents.select(
+        F.col("doc_id").alias("chunk_id"), none.alias("tenant_name"), none.alias("region"), "text"
+    )
+    found = answers.search(
+        chunks, inputs.questions(spark, SF_DIR), vectors=inputs.vectors(spark, SF_DIR)
+    )
+    text = plan(found)
+    scan = text.index("ReadSchema: struct<doc_id:bigint,text:string>")
+    above_scan = text[text.index("LeftSemi") : scan]
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in above_scan
 
 def test_context_needs_one_shuffle_of_the_hits(spark):
     from meterline.operators import hits as steps

@@ -118,3 +118,76 @@ def test_scratch_folder_follows_the_checkpoint_setting(spark):
     assert scratch_dir(FakeSession(master="local[2]"), "x").startswith("/tmp/run-")
     with pytest.raises(RuntimeError):
         scratch_dir(FakeSession(), "x")
+
+
+def _failing(df):
+    from pyspark.sql import functions as F
+
+    broken = F.when(F.col("id") == 5, F.raise_error(F.lit("broken row"))).otherwise(F.lit(1))
+    return df.withColumn("x", broken.cast("int"))
+
+
+@pytest.mark.parametrize("partition_by", [(), ("part",)])
+def test_a_failed_refresh_keeps_the_stored_rows(spark, database, partition_by):
+    df = spark.range(10).selectExpr("id", "cast(1 AS int) AS x", "id % 2 AS part")
+    sinks.materialize(df, "t", "told", {sinks.RESET_ALLOWED: "false"}, partition_by)
+    for _ in range(2):
+        with pytest.raises(Exception, match="broken row"):
+            sinks.materialize(_failing(df), "t", partition_by=partition_by)
+        spark.catalog.refreshTable("t")
+        assert spark.table("t").count() == 10
+
+
+@pytest.mark.parametrize("partition_by", [(), ("part",)])
+def test_a_refresh_without_properties_keeps_guard_and_comment(spark, database, partition_by):
+    df = spark.range(10).selectExpr("id", "id % 3 AS part")
+    sinks.materialize(df, "t", "told", {sinks.RESET_ALLOWED: "false"}, partition_by)
+    fewer = sinks.materialize(df.filter("part < 2"), "t", partition_by=partition_by)
+    assert sorted(r.part for r in fewer.select("part").distinct().collect()) == [0, 1]
+    assert spark.catalog.getTable("t").description == "told"
+    with pytest.raises(sinks.ResetNotAllowed):
+        sinks.materialize(df, "t", reset=True, partition_by=partition_by)
+    wider = sinks.materialize(df.withColumn("more", df.id), "t", partition_by=partition_by)
+    assert wider.count() == 10 and "more" in wider.columns
+    with pytest.raises(sinks.ResetNotAllowed):
+        sinks.materialize(df, "t", reset=True, partition_by=partition_by)
+
+
+def test_all_stored_names_are_in_the_schema_that_is_set(spark, database, tmp_path):
+    from meterline.registry import inputs
+    from meterline.streaming import fx
+    from tests.conftest import SF_DIR
+
+    spark.catalog.setCurrentDatabase("default")
+    settings = Settings(f"{database}.usage_records", inputs.TENANTS, schema=database)
+    sinks.materialize(inputs.usage(spark, SF_DIR), settings.source_table)
+    sinks.materialize(inputs.price(spark, SF_DIR), settings.qualified(names.PRICE_TABLE))
+    refreshed = medallion.refresh_reported(spark, settings)
+    assert refreshed.report.count() == 8 and refreshed.report.filter("n_rows = 0").isEmpty()
+    rates = tmp_path / "rates"
+    rates.mkdir()
+    line = '{"as_of_ts": "2024-01-01T00:00:00", "base_ccy": "USD", "quote_ccy": "KRW", "fx_rate": 1400.0}'
+    (rates / "1.json").write_text(line)
+    costs = fx.run_fx(spark, str(rates), str(tmp_path / "progress"), settings)
+    assert costs.count() == refreshed.gold.count() == tables.load_billing_data(spark, settings).count()
+    assert "as_of_date" in costs.columns
+    stored = {t.name for t in spark.catalog.listTables(database)}
+    assert {names.BRONZE_TABLE, names.SILVER_TABLE, names.GOLD_TABLE, names.FX_TABLE, names.FX_COST_TABLE} <= stored
+
+
+def test_an_added_day_rewrites_its_month_only(spark, database, rows):
+    from meterline.registry import inputs
+    from tests.conftest import SF_DIR
+
+    usage = inputs.usage(spark, SF_DIR)
+    day = usage.filter("usage_date BETWEEN '1996-03-10' AND '1996-03-12'")
+    settings = Settings("usage_records", inputs.TENANTS)
+    sinks.materialize(inputs.price(spark, SF_DIR), names.PRICE_TABLE)
+    sinks.materialize(usage.filter("usage_date NOT BETWEEN '1996-03-10' AND '1996-03-12'"), "usage_records")
+    medallion.refresh(spark, settings)
+    before = set(spark.table(names.GOLD_TABLE).inputFiles())
+    day.select(*spark.table("usage_records").columns).write.insertInto("usage_records")
+    gold = medallion.refresh_days(spark, "1996-03-10", "1996-03-12", settings)
+    new = set(spark.table(names.GOLD_TABLE).inputFiles()) ^ before
+    assert new and all("year=1996/month=3/" in file for file in new)
+    assert rows(gold) == rows(inputs.gold(spark, SF_DIR))

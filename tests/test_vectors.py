@@ -45,28 +45,68 @@ def some():
     return chunks, questions
 
 
-@pytest.mark.parametrize("entries", [10_000, 0], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
 @pytest.mark.parametrize("k", [1, 5, 400])
-def test_matches_brute_force(spark, some, entries, k, monkeypatch):
-    monkeypatch.setattr(vectors, "GRID_QUESTIONS", 10)
-    monkeypatch.setattr(vectors, "GRID_CHUNKS", 70)
+def test_matches_brute_force(spark, some, layout, k, monkeypatch):
+    monkeypatch.setattr(vectors, "GRID_QUESTION_ENTRIES", 40)
+    monkeypatch.setattr(vectors, "GRID_CHUNK_ENTRIES", 280)
     monkeypatch.setattr(vectors, "BLOCK_SCORES", 500)
+    monkeypatch.setattr(vectors, "PENDING", 50)
     chunks, questions = some
-    found = vector_top_k(*frames(spark, chunks, questions), k, broadcast_entries=entries)
+    found = vector_top_k(*frames(spark, chunks, questions), k, layout=layout)
     assert collected(found) == brute_force(chunks, questions, k)
 
 
-@pytest.mark.parametrize("entries", [10_000, 0], ids=["broadcast", "grid"])
-def test_text_ids_and_unusable_vectors(spark, entries):
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
+def test_text_ids_and_unusable_vectors(spark, layout):
     chunks = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", None), ("d", []), (None, [1.0, 0.0])]
     questions = [("q", [3.0, 0.0]), ("none", None)]
-    found = vector_top_k(*frames(spark, chunks, questions, "string"), 5, broadcast_entries=entries)
+    found = vector_top_k(*frames(spark, chunks, questions, "string"), 5, layout=layout)
     assert collected(found) == {("q", "a", 1.0, 1), ("q", "b", 1.0, 2)}
 
 
-@pytest.mark.parametrize("entries", [10_000, 0], ids=["broadcast", "grid"])
-def test_empty_sides(spark, entries):
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
+def test_empty_sides(spark, layout):
     one, none = [(1, [1.0])], []
     for chunks, questions in ((one, none), (none, one), (none, none)):
-        found = vector_top_k(*frames(spark, chunks, questions), 3, broadcast_entries=entries)
+        found = vector_top_k(*frames(spark, chunks, questions), 3, layout=layout)
         assert collected(found) == set()
+
+
+BAD = {
+    "inf": [float("inf"), 1.0],
+    "nan": [float("nan"), 1.0],
+    "null": [None, 1.0],
+}
+
+
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
+@pytest.mark.parametrize("kind", BAD)
+def test_bad_vectors_are_named_or_left_out(spark, layout, kind):
+    chunks = [(1, [1.0, 0.0]), (77, BAD[kind]), (3, [-1.0, 0.0])]
+    sides = frames(spark, chunks, [(9, [1.0, 0.0])])
+    with pytest.raises(Exception, match="the vector of 77 has a NULL or non-finite entry"):
+        vector_top_k(*sides, 3, layout=layout).collect()
+    found = vector_top_k(*sides, 3, layout=layout, on_bad_vector="drop")
+    assert collected(found) == {(9, 1, 1.0, 1), (9, 3, -1.0, 2)}
+
+
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
+def test_vectors_of_other_lengths_are_an_error(spark, layout):
+    chunks = [(1, [1.0, 0.0, 0.0]), (2, [1.0])]
+    with pytest.raises(Exception, match=r"the vector of \d has \d entries, not"):
+        vector_top_k(*frames(spark, chunks, [(9, [1.0, 0.0])], parts=1), 3, layout=layout).collect()
+
+
+@pytest.mark.parametrize("layout", ["broadcast", "grid"])
+def test_large_doubles_do_not_overflow(spark, layout):
+    chunks = spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e-200, 1e-200])], "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame([(9, [1e300, 0.0])], "question_id long, embedding array<double>")
+    found = vector_top_k(chunks, questions, 2, layout=layout)
+    assert collected(found) == {(9, 1, 1.0, 1), (9, 2, 0.707107, 2)}
+
+
+def test_too_many_questions_for_a_broadcast_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BROADCAST_ENTRIES", 3)
+    with pytest.raises(ValueError, match="grid"):
+        vector_top_k(*frames(spark, [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]), 1, layout="broadcast")
