@@ -67,14 +67,30 @@ def sentence_runs(data: np.ndarray, bounds: np.ndarray, min_words: int):
 
 
 def _runs(min_words: int):
+    """Runs of each text. Those that repeat an earlier run of the same batch are marked: they are
+    not first in any case, so a passage of many texts sends one row a batch to its key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in text_slices(batch.column(3)):
-                text, key, start, end = sentence_runs(data, bounds, min_words)
-                taken = pa.array(at + text)
-                columns = [batch.column(i).take(taken) for i in range(3)]
-                columns += [pa.array(key.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_1", "row_2", "key", "start", "end"])
+            found = [
+                (at + text, *more)
+                for at, data, bounds in text_slices(batch.column(3))
+                for text, *more in [sentence_runs(data, bounds, min_words)]
+            ]
+            if not found:
+                continue
+            text, key, start, end = (np.concatenate(parts) for parts in zip(*found, strict=True))
+            docs = [(x is None, 0 if x is None else x, a, b) for x, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            rank = {doc: i for i, doc in enumerate(sorted(set(docs)))}
+            place = (np.array([rank[doc] for doc in docs], np.int64)[text] << 32) + start
+            order = np.lexsort((place, key))
+            opens = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(order)]
+            first = place[order][opens][np.cumsum(opens) - 1]
+            again = np.zeros(len(order), bool)
+            again[order] = place[order] > first
+            columns = [batch.column(i).take(pa.array(text)) for i in range(3)]
+            columns += [pa.array(x) for x in (key.view(np.int64), start.astype(np.int32), end.astype(np.int32), again)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_1", "row_2", "key", "start", "end", "again"])
 
     return run
 
@@ -84,11 +100,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(ids.alias("doc_id"), *row_key(ids, texts), texts.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row_1 bigint, row_2 bigint, key bigint, start int, end int"
+    schema = f"doc_id {kind}, row_1 bigint, row_2 bigint, key bigint, start int, end int, again boolean"
     runs = rows.mapInArrow(_runs(min_words), schema)
-    # Ranks stream over the sorted rows of a key, however many they are.
-    place = "dense_rank() over (partition by key, end - start order by doc_id is null, doc_id, row_1, row_2, start)"
-    return runs.withColumn("place", F.expr(place)).filter("place > 1").select("row_1", "row_2", "start", "end")
+    # Runs known to be repeats are spread by document; the others are ranked in a stream of sorted rows.
+    spread = runs.withColumn("spread", F.when(F.col("again"), F.col("row_1")))
+    order = "order by doc_id is null, doc_id, row_1, row_2, start"
+    place = f"dense_rank() over (partition by key, end - start, spread {order})"
+    ranked = spread.withColumn("place", F.expr(place))
+    return ranked.filter("again or place > 1").select("row_1", "row_2", "start", "end")
 
 
 def dedup_sentences(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
