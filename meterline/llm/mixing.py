@@ -211,3 +211,37 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
     key = ("source_no", "bucket", "number", "doc_id", "size", "source_size", "target")
     by_row = mix.pieces().groupBy(*key)
     return by_row.agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = rf"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place
+    FROM documents
+), placed AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST, size
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
+    FROM sized
+), named AS (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no, sum(source_size) OVER () AS words
+    FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), weighted AS (
+    SELECT *, [3, 1, 2][source_no % 3 + 1] AS weight, {MOST} * source_size / weight AS ratio FROM named
+), levels AS (
+    SELECT *, ({SHARE}::DOUBLE * words - coalesce(sum({MOST} * source_size) OVER (ORDER BY ratio, source_no
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY ratio, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighted
+), targets AS (
+    SELECT source, source_size,
+           CASE WHEN levels.ratio > f.ratio OR (levels.ratio = f.ratio AND levels.source_no >= f.source_no)
+           THEN weight * f.level ELSE ({MOST} * source_size)::DOUBLE END AS target
+    FROM levels CROSS JOIN (SELECT ratio, source_no, level FROM levels WHERE level <= ratio ORDER BY ALL LIMIT 1) f
+), whole AS (
+    SELECT *, floor(least(target, ({MOST} * source_size)::DOUBLE))::BIGINT AS goal FROM targets
+)
+SELECT doc_id, size, source_size, target,
+       (goal // greatest(source_size, 1) * size
+        + greatest(0, least(first_word + size, goal % greatest(source_size, 1)) - first_word))::BIGINT AS taken
+FROM placed JOIN whole ON placed.source IS NOT DISTINCT FROM whole.source
+"""

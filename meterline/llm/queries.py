@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from meterline.llm.chats import OP2_SQL, op2_chat_formatting
 from meterline.llm.jaccard import op4_ngram_jaccard
-from meterline.llm.mixing import op1_mixing
+from meterline.llm.mixing import OP1_SQL, op1_mixing
 from meterline.llm.pieces import op6_pieces
 from meterline.llm.quality import op5_quality_rules
 from meterline.llm.secrets import op9_secret_scans
@@ -28,4 +28,4 @@ QUERIES = {
         op10_near_vectors,
     )
 }
-ORACLE_SQL = {"op2_chat_formatting": OP2_SQL, "op8_sharding": OP8_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op8_sharding": OP8_SQL}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.llm import components, jaccard, mixing, sentences, suffixes, vectors
+from tests.compare import connect, differences
 from tests.conftest import SF_DIR
 from tests.llm.conftest import PASSAGE, ROWS
 
@@ -74,6 +75,10 @@ def test_mixing(spark, docs, monkeypatch, block):
     assert abs(copies.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] / sum(by_source.values()) - 1) < 0.4
 
 
+def test_mixing_matches_sql(spark):
+    assert differences(mixing.op1_mixing(spark, SF_DIR), connect(SF_DIR), mixing.OP1_SQL) == []
+
+
 def test_mixing_of_nothing(no_docs, docs):
     assert mixing.Mix(no_docs).pieces().count() == 0 and mixing.Mix(no_docs).documents().count() == 0
     wordless = docs.filter("text IS NULL OR trim(text) = ''")
