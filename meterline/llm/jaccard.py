@@ -11,8 +11,9 @@ more are matched among themselves by blocks of another hash.
 
 Within a cluster, rows are dealt into blocks of bounded size, and every pair of blocks is
 multiplied over blocks of columns. Overlap counts accumulate; pairs whose sizes or remaining
-columns cannot reach the bound are discarded. A product returns the components of its links,
-not its pairs. Equal sets are one row throughout, so copies cost nothing.
+columns cannot reach the bound are discarded. A quarter of the columns is multiplied first,
+which takes clusters apart whose rows only share a passage, and then all columns of what is
+left. A product returns the components of its links, not its pairs. Equal sets are one row throughout, so copies cost nothing.
 
 N-grams are compared by 64-bit hashes and sets by 128-bit digests.
 
@@ -46,9 +47,13 @@ from meterline.llm.common import (
 from meterline.llm.components import components
 
 #: Rows and n-grams that one block of a cluster holds at most; a larger row is a block alone.
-BLOCK_ROWS, BLOCK_GRAMS = 256, 1 << 20
+BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 19
+#: One in so many columns is multiplied first; what it cannot rule out is multiplied whole.
+FIRST_COLUMNS = 4
 #: Columns that a product takes at a time.
 BLOCK_COLUMNS = 4096
+#: Digests that a task hands over at a time.
+DIGEST_ROWS = 1 << 17
 
 _U = np.uint64
 
@@ -120,69 +125,107 @@ def _identity(grams: np.ndarray) -> tuple[int, int]:
     return tuple(mix(np.array([one, two], _U) + _U(len(grams))).view(np.int64).tolist())
 
 
-SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint, level int, up array<bigint>, down array<bigint>"
+SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint, nodes array<bigint>"
+
+
+def _nodes(set_1: int, level: int) -> list[int]:
+    """A set as a node of its own level and of the next one."""
+    salt = mix(np.array([level, level + 1], _U)).view(np.int64)
+    return [set_1 ^ int(salt[0]), set_1 ^ int(salt[1])]
 
 
 def _sets(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)
         for batch in batches:
-            size, ids, level, up, down = [], [], [], [], []
+            size, ids, nodes = [], [], []
             for grams in gram_sets(batch.column(1), n):
                 size.append(len(grams))
-                if not len(grams):
-                    ids.append((None, None))
-                    level.append(None)
-                    up.append(None)
-                    down.append(None)
-                    continue
-                ids.append(_identity(grams))
-                level.append(levels.level(len(grams)))
-                up.append(digests(grams, level[-1] + 1, levels).view(np.int64))
-                down.append(digests(grams, level[-1], levels).view(np.int64))
+                ids.append(_identity(grams) if len(grams) else (None, None))
+                nodes.append(_nodes(ids[-1][0], levels.level(len(grams))) if len(grams) else None)
             columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.int64())]
             columns += [pa.array([pair[i] for pair in ids], pa.int64()) for i in (0, 1)]
-            columns += [pa.array(level, pa.int32())]
-            columns += [pa.array(x, pa.list_(pa.int64())) for x in (up, down)]
-            names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "level", "up", "down"]
+            columns.append(pa.array(nodes, pa.list_(pa.int64())))
+            names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "nodes"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _grams(n: int):
+def _digests(n: int, percent: int):
+    """The digests that each set writes, once for equal sets of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(percent)
         for batch in batches:
-            sets = [g for g in gram_sets(batch.column(0), n) if len(g)]
-            ids = [_identity(g) for g in sets]
-            columns = [pa.array([pair[i] for pair in ids], pa.int64()) for i in (0, 1)]
-            columns.append(pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64())))
+            seen = set()
+            node, found, held = [], [], 0
+            for grams in gram_sets(batch.column(0), n):
+                identity = _identity(grams) if len(grams) else None
+                if not identity or identity in seen:
+                    continue
+                seen.add(identity)
+                level = levels.level(len(grams))
+                for one, at in zip(_nodes(identity[0], level), (level, level + 1), strict=True):
+                    found.append(digests(grams, at, levels))
+                    node.append(np.full(len(found[-1]), one))
+                    held += len(found[-1])
+                if held > DIGEST_ROWS:
+                    yield _written(node, found)
+                    node, found, held = [], [], 0
+            if held:
+                yield _written(node, found)
+
+    return run
+
+
+def _written(node: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(node)), pa.array(np.concatenate(found).view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["node", "digest"])
+
+
+def _grams(n: int, share: int):
+    """The n-grams of each set in one of ``share`` columns, once for equal sets of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {_identity(g): g[g % _U(share) == 0] for g in gram_sets(batch.column(0), n) if len(g)}
+            columns = [pa.array([pair[i] for pair in sets], pa.int64()) for i in (0, 1)]
+            columns.append(pa.array([g.view(np.int64) for g in sets.values()], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["set_1", "set_2", "grams"])
 
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The matrix that says which pairs of sets reach the similarity."""
-    size = np.array([len(s) for s in sets], np.int64)
+def linked(sets: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """The matrix that says which pairs of sets may reach the similarity, as far as is known.
+
+    ``size`` are the sizes of the whole sets; columns that ``sets`` leaves out may all overlap.
+    """
+    held = np.array([len(s) for s in sets], np.int64)
     total = size[:, None] + size[None, :]
     needed = -(-percent * total // (100 + percent))
     alive = np.minimum(size[:, None], size[None, :]) >= needed
     overlap = np.zeros(total.shape, np.int64)
-    rows = np.repeat(np.arange(len(sets)), size)
-    values, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), held)
+    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    left = size - np.bincount(rows[counts[columns] == 1], minlength=len(sets))  # columns of one row overlap with none
+    rows, columns = rows[counts[columns] > 1], columns[counts[columns] > 1]
+    columns = (np.cumsum(counts > 1) - 1)[columns]
+    n_columns = int(np.count_nonzero(counts > 1))
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    left = size.copy()
-    for begin in range(0, len(values), BLOCK_COLUMNS):
+    alive &= np.minimum(left[:, None], left[None, :]) >= needed
+    for begin in range(0, n_columns, BLOCK_COLUMNS):
         lo, hi = np.searchsorted(columns, (begin, begin + BLOCK_COLUMNS))
-        part = np.zeros((len(sets), min(BLOCK_COLUMNS, len(values) - begin)), np.float32)
+        part = np.zeros((len(sets), min(BLOCK_COLUMNS, n_columns - begin)), np.float32)
         part[rows[lo:hi], columns[lo:hi] - begin] = 1
         overlap += (part @ part.T).astype(np.int64)
         left -= np.bincount(rows[lo:hi], minlength=len(sets))
         alive &= overlap + np.minimum(left[:, None], left[None, :]) >= needed
         if np.count_nonzero(alive) == len(sets):  # each only with itself
             break
+    np.fill_diagonal(alive, True)
     return alive
 
 
@@ -200,28 +243,30 @@ def _roots(links: np.ndarray) -> np.ndarray:
 def _products(percent: int):
     """Links within each cell of rows; the rows of a cell follow one another."""
 
-    def cell(ids: list[tuple[int, int]], sets: list[np.ndarray]) -> list[tuple[int, ...]]:
-        root = _roots(linked(sets, percent))
+    def cell(ids: list[tuple[int, int]], sets: list[np.ndarray], size: list[int]) -> list[tuple[int, ...]]:
+        root = _roots(linked(sets, np.array(size, np.int64), percent))
         return [(*ids[i], *ids[r]) for i, r in enumerate(root) if r != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, ids, sets, size = None, [], [], []
         for batch in batches:
             found = []
             cells = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             names = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            bounds = batch.column(5).offsets.to_numpy()
-            values = batch.column(5).values.to_numpy().view(_U)
+            sizes = batch.column(5).to_pylist()
+            bounds = batch.column(6).offsets.to_numpy()
+            values = batch.column(6).values.to_numpy().view(_U)
             for i, (at, name) in enumerate(zip(cells, names, strict=True)):
                 if at != key:
                     if len(sets) > 1:
-                        found += cell(ids, sets)
-                    key, ids, sets = at, [], []
+                        found += cell(ids, sets, size)
+                    key, ids, sets, size = at, [], [], []
                 ids.append(name)
+                size.append(sizes[i])
                 sets.append(values[bounds[i] : bounds[i + 1]].copy())
             yield _edges(found)
         if len(sets) > 1:
-            yield _edges(cell(ids, sets))
+            yield _edges(cell(ids, sets, size))
 
     return run
 
@@ -231,20 +276,40 @@ def _edges(found: list[tuple[int, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["a_1", "a_2", "b_1", "b_2"])
 
 
-def _clusters(sets: DataFrame) -> DataFrame:
+def _clusters(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, cluster) for sets that agree on a block with another; a set is one node a level."""
-    node = lambda up: F.col("set_1").bitwiseXOR(F.xxhash64(F.col("level") + up))
-    sides = F.array(
-        F.struct(node(1).alias("node"), F.col("up").alias("found")),
-        F.struct(node(0).alias("node"), F.col("down").alias("found")),
-    )
-    written = sets.select(F.inline(sides)).select("node", F.explode("found").alias("digest"))
+    written = texts.mapInArrow(_digests(n, percent), "node bigint, digest bigint")
     # The least node so far of those with a digest; the rows of a digest stream by.
     so_far = "min(node) over (partition by digest order by node rows unbounded preceding)"
     pairs = written.select(F.col("node").alias("a"), F.expr(so_far).alias("b"))
     return components(pairs.filter("a != b"))
 
 
+GRAMS = "set_1 bigint, set_2 bigint, grams array<bigint>"
+
+
+def _multiplied(members: DataFrame, grams: DataFrame, percent: int, share: int) -> DataFrame:
+    """Edges that span the pairs of each cluster that the given columns do not rule out."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+    by_rows, by_grams = F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / (share * BLOCK_GRAMS))
+    blocks = sizes.select("component", F.greatest(by_rows, by_grams).alias("blocks"))
+    placed = members.join(blocks, "component").withColumn("block", F.pmod("set_2", "blocks"))
+    # Copies in other batches are dropped; the join needs the same exchange.
+    grams = grams.groupBy("set_1", "set_2").agg(F.first("grams").alias("grams")).hint("merge")
+    cells = placed.join(grams, ["set_1", "set_2"]).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    key = ("component", "row", "column")
+    cells = cells.select(
+        "component",
+        F.least("block", "other").alias("row"),
+        F.greatest("block", "other").alias("column"),
+        "set_1", "set_2", "n_shingles", "grams",
+    )
+    cells = cells.repartition(*key).sortWithinPartitions(*key)
+    links = cells.mapInArrow(_products(percent), "a_1 bigint, a_2 bigint, b_1 bigint, b_2 bigint")
+    pair = lambda x: F.struct(F.col(f"{x}_1").alias("set_1"), F.col(f"{x}_2").alias("set_2")).alias(x)
+    return links.select(pair("a"), pair("b"))
+
+
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("row_1"), F.xxhash64(text, doc_id).alias("row_2")]
 
@@ -260,37 +325,24 @@ def _grouped(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     sets = found.groupBy("set_1", "set_2").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),
-        F.first("level").alias("level"),
-        F.first("up").alias("up"),
-        F.first("down").alias("down"),
+        F.first("nodes").alias("nodes"),
     )
     sets = stored(sets, "gram-distinct")
-    clusters = stored(_clusters(sets), "gram-clusters")
-
-    nodes = sets.select(
-        "set_1", "set_2", "doc_id", "n_shingles", F.explode(F.array("level", F.col("level") + 1)).alias("level")
-    ).withColumn("node", F.col("set_1").bitwiseXOR(F.xxhash64("level")))
-    members = stored(nodes.join(clusters, "node").drop("node", "level").distinct(), "gram-members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-    by_rows, by_grams = F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)
-    blocks = sizes.select("component", F.greatest(by_rows, by_grams).alias("blocks"))
+    clusters = stored(_clusters(rows.select("text"), n, percent), "gram-clusters")
+
+    nodes = sets.select("set_1", "set_2", "doc_id", "n_shingles", F.explode("nodes").alias("node"))
+    members = stored(nodes.join(clusters, "node").drop("node").distinct(), "gram-members")
+    # A few columns first: most rows of a cluster only share a passage, which these columns show.
+    share = rows.select("text").mapInArrow(_grams(n, FIRST_COLUMNS), GRAMS)
+    likely = components(_multiplied(members, share, percent, FIRST_COLUMNS))
+    likely = likely.select("node.*", F.xxhash64("component.set_1", "component.set_2").alias("component"))
+    known = sets.select("set_1", "set_2", "doc_id", "n_shingles")
+    members = stored(known.join(likely, ["set_1", "set_2"]), "gram-likely")
     # Merged at every size, so that the plan on a small table is the plan on a large one.
     wanted = members.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted").hint("merge")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    grams = texts.mapInArrow(_grams(n), "set_1 bigint, set_2 bigint, grams array<bigint>")
-    placed = members.join(blocks, "component").withColumn("block", F.pmod("set_2", "blocks"))
-    cells = placed.join(grams, ["set_1", "set_2"]).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    key = ("component", "row", "column")
-    cells = cells.select(
-        "component",
-        F.least("block", "other").alias("row"),
-        F.greatest("block", "other").alias("column"),
-        "set_1", "set_2", "grams",
-    )
-    cells = cells.repartition(*key).sortWithinPartitions(*key)
-    links = cells.mapInArrow(_products(percent), "a_1 bigint, a_2 bigint, b_1 bigint, b_2 bigint")
-    pair = lambda x: F.struct(F.col(f"{x}_1").alias("set_1"), F.col(f"{x}_2").alias("set_2")).alias(x)
-    joined = components(links.select(pair("a"), pair("b")))
+    whole = texts.mapInArrow(_grams(n, 1), GRAMS)
+    joined = components(_multiplied(members, whole, percent, 1))
 
     named = sets.select("set_1", "set_2", "doc_id").join(
         joined.select("node.set_1", "node.set_2", "component"), ["set_1", "set_2"], "left"
