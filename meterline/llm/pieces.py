@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ from meterline.llm.common import mix, table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Characters of text for which a task finds new units at a time; a longer text is handled alone.
-BATCH_CHARS = 1 << 22
+#: Bytes of text for which a task finds new units at a time; a longer text is handled alone.
+BATCH_BYTES = 1 << 21
 #: Units that a worker remembers before it forgets them all.
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 150_000
 #: Bytes of new units in one suffix array.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 _SEEN_SLOTS = 1 << 20
 _U = np.uint64
 
@@ -71,7 +72,7 @@ class Matcher:
         place = {score: i for i, score in enumerate(order)}
         self.rank = np.array([place[s] for s in vocabulary.scores], np.int64)
         self.bytes = [p.encode() if p else b"" for p in vocabulary.pieces]
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.length = np.array([len(b) for b in self.bytes], np.int32)
         self.left = np.arange(n)
         self.right = np.arange(n)
         joins = []
@@ -82,7 +83,7 @@ class Matcher:
         joins.sort()
         self.join_key = np.array([a * n + b for a, b, _ in joins], np.int64)
         self.join_rank = np.array([self.rank[c] for _, _, c in joins], np.int64)
-        ids = np.array([i for i, p in enumerate(vocabulary.pieces) if p])
+        ids = np.array([i for i, p in enumerate(vocabulary.pieces) if p], np.int32)
         self.search_ids = ids
         width = -(-int(self.length.max()) // 8)
         packed = np.zeros((len(ids), width * 8), np.uint8)
@@ -149,7 +150,7 @@ class Matcher:
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``_open`` with an answer remembered for each pair; a negative piece never merges."""
-        key = a * len(self.rank) + b
+        key = a.astype(np.int64) * len(self.rank) + b
         slot = (mix(key.astype(_U)) & _U(_SEEN_SLOTS - 1)).astype(np.int64)
         new = (self.seen_key[slot] != key) & (a >= 0) & (b >= 0)
         result = self.seen_valid[slot]
@@ -189,10 +190,15 @@ class Matcher:
 
     def _ranges(self, suffixes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every piece the range of the sorted suffixes that begin with it, by binary search."""
-        bounds = []
+        bounds = [np.zeros(len(self.search_ids), np.int64)]
         for upper in (False, True):
-            lo = np.zeros(len(self.search_ids), np.int64)
-            hi = np.full(len(self.search_ids), len(suffixes), np.int64)
+            lo, hi = bounds[-1].copy(), np.full(len(self.search_ids), len(suffixes), np.int64)
+            if upper:  # only pieces that occur have more to find
+                occurs = lo < len(suffixes)
+                at = suffixes[np.minimum(lo, len(suffixes) - 1)]
+                for k in range(len(self.search_key)):
+                    occurs &= (words[at + 8 * k] & self.search_mask[k]) == self.search_key[k]
+                hi = np.where(occurs, hi, lo)
             busy = np.flatnonzero(lo < hi)
             while len(busy):
                 mid = (lo[busy] + hi[busy]) // 2
@@ -211,25 +217,25 @@ class Matcher:
                 hi[busy] = np.where(right, hi[busy], mid)
                 busy = busy[lo[busy] < hi[busy]]
             bounds.append(lo)
-        return bounds[0], bounds[1]
+        return bounds[1], bounds[2]
 
     def _index(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the units end to end, and how many each unit has. A character without a
         piece is -1 less its place in the data."""
         data = np.frombuffer(b"\xff".join(units) + b"\xff", np.uint8)
-        begins = np.flatnonzero(((data < 0x80) | (data >= 0xC0)) & (data != 255))
-        starts = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
+        begins = np.flatnonzero(((data < 0x80) | (data >= 0xC0)) & (data != 255)).astype(np.int32)
+        starts = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units]))).astype(np.int32)
         ends = starts[1:] - 1
         starts = starts[:-1]
         suffixes, words = self._suffix_array(data, begins)
         lo, hi = self._ranges(suffixes, words)
         count = hi - lo
         piece = np.repeat(self.search_ids, count)
-        skip = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        source = suffixes[np.arange(count.sum()) + skip]
+        skip = np.repeat((lo - np.concatenate(([0], np.cumsum(count)[:-1]))).astype(np.int32), count)
+        source = suffixes[np.arange(count.sum(), dtype=np.int32) + skip]
         begins_here = np.zeros(len(data) + 1, bool)
         begins_here[begins] = True
-        character = np.cumsum(begins_here) - 1
+        character = np.cumsum(begins_here, dtype=np.int32) - 1
         # Characters without a piece of their own are edges to themselves.
         next_begin = np.append(begins[1:], len(data) - 1)
         size = next_begin - begins - (data[next_begin - 1] == 255)
@@ -242,12 +248,12 @@ class Matcher:
         # Edges by position: those that start at the same character of their units go together.
         first_of_unit = character[starts]
         unit_size = np.diff(np.append(first_of_unit, len(begins)))
-        depth = (np.arange(len(begins)) - np.repeat(first_of_unit, unit_size))[character[source]]
+        depth = (np.arange(len(begins), dtype=np.int32) - np.repeat(first_of_unit, unit_size))[character[source]]
         order = np.argsort(depth, kind="stable")
         source, target, piece = source[order], target[order], piece[order]
         cut = np.searchsorted(depth[order], np.arange(depth.max(initial=-1) + 2))
-        none = np.iinfo(np.int64).min
-        ending = np.full(len(data) + 1, none)
+        none = np.iinfo(np.int32).min
+        ending = np.full(len(data) + 1, none, np.int32)
         at_start = np.zeros(len(data) + 1, bool)
         at_start[starts] = True
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -327,19 +333,6 @@ class Matcher:
         unit_bounds = np.concatenate(([0], np.cumsum(n_units)))
         return pool[take], np.diff(out_first[unit_bounds])
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join([self.raw[i] for i in ids])
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
-
-    @property
-    def raw(self) -> list[bytes]:
-        if not hasattr(self, "_raw"):
-            self._raw = list(self.bytes)
-            for value, i in enumerate(self.vocabulary.byte_ids):
-                self._raw[i] = bytes([value])
-        return self._raw
-
 
 @cache
 def _matcher(vocabulary: Vocabulary) -> Matcher:
@@ -349,15 +342,16 @@ def _matcher(vocabulary: Vocabulary) -> Matcher:
 def _encode(vocabulary: Vocabulary):
     def run(texts: pa.Array) -> pa.Array:
         matcher, parts, at = _matcher(vocabulary), [], 0
-        texts = texts.to_pylist()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (size < BATCH_CHARS or end == at):
-                size += len(texts[end] or "")
+            while end < len(texts) and (size < BATCH_BYTES or end == at):
+                size += int(sizes[end])
                 end += 1
-            ids, counts = matcher.encode(texts[at:end])
+            taken = texts.slice(at, end - at).to_pylist()
+            ids, counts = matcher.encode(taken)
             bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            missing = np.array([t is None for t in texts[at:end]] + [False])
+            missing = np.array([t is None for t in taken] + [False])
             parts.append(pa.ListArray.from_arrays(pa.array(bounds, mask=missing), pa.array(ids)))
             at = end
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -365,12 +359,25 @@ def _encode(vocabulary: Vocabulary):
     return run
 
 
+@cache
+def _raw(vocabulary: Vocabulary) -> list[bytes]:
+    raw = [p.encode() if p else b"" for p in vocabulary.pieces]
+    for value, i in enumerate(vocabulary.byte_ids):
+        raw[i] = bytes([value])
+    return raw
+
+
+def decoded(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
+    raw = _raw(vocabulary)
+    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 def _decode(vocabulary: Vocabulary):
     def run(ids: pa.Array) -> pa.Array:
-        matcher = _matcher(vocabulary)
         values = ids.values.to_numpy()
         bounds = zip(ids.offsets.to_pylist(), ids.offsets.to_pylist()[1:], ids.is_valid().to_pylist(), strict=False)
-        texts = [matcher.decode(values[a:b].tolist()) if valid else None for a, b, valid in bounds]
+        texts = [decoded(vocabulary, values[a:b].tolist()) if valid else None for a, b, valid in bounds]
         return pa.array(texts, pa.string())
 
     return run
