@@ -4,7 +4,17 @@ The patterns give the base spans. The method adds values that stand in a credent
 (after a name such as ``pwd`` or ``bearer``) and that a guesser would need many tries for: the
 value is cut into words, dates, repeats, keyboard walks and brute-force spans so that the
 product of their guesses is least, by dynamic programming over positions. Base spans stay
-whatever their cost; a value that touches a base span is not reported again.
+whatever their cost; a value inside a base span is not reported again, one that goes on beyond
+it is reported whole.
+
+A value follows ``:``, ``=``, ``==``, ``:=`` or ``=>``, on the same line, or `` is `` or ``bearer``.
+A quoted value goes up to its closing quote, over line breaks but not over an empty line; any
+other goes up to the next blank, so that it takes along what is joined to it, such as ``&user=x``
+or a tag. Its cost alone decides, however short it is and of whatever characters.
+
+Left out: values that cost less; values of letters only after `` is ``, where prose is meant;
+what follows a blank in a value without quotes; and, at the end of a value without quotes, marks
+that end a sentence and brackets or quotes that it does not open.
 
 Defined results: a null or empty text has no spans; long texts are scanned whole; rows are
 scanned one by one, so ties and repeated rows get equal results. Positions are code points,
@@ -16,6 +26,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,13 +46,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 
-#: Names after which a value is a credential, and what may stand between.
+#: Names after which a value is a credential, and what may stand between; group 1 is a quote after the name, 2 the `` is `` form.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:[A-Za-z0-9]+_)?(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|credentials?|auth|bearer"""
-    r"""|(?:api|access|private|client|secret)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|(?<=bearer)\x20+)"""
-    r"""["']?([^\s"'<>(),;]{8,})""",
+    r"""|(?:api|access|private|client|secret)[_-]?key)(["'])?"""
+    r"""(?:[\x20\t]*(?::=|=>|={1,3}|:)[\x20\t]*|([\x20\t]+is[\x20\t]+)|(?<=bearer)[\x20\t]+)"""
+    r"""(?:(?:bearer|basic)[\x20\t]+)?(?=\S)""",
     re.ASCII | re.IGNORECASE,
 )
+BLANK = re.compile(r"\s")
+#: What ends a quoted value: its quote, unless escaped or an apostrophe within a word, or an empty line.
+QUOTE_ENDS = {
+    q: re.compile(rf"\\.|(?P<close>{q}{'(?![A-Za-z0-9])' * (q != chr(34))})|\n[\x20\t\r]*\n", re.DOTALL) for q in "\"'`"
+}
+#: A number or word of JSON after a quoted name, which ends before the next member.
+LITERAL = re.compile(r"""(?:-?\d[\d.eE+-]*|true|false|null)(?=[,}\]]+(?:["'\s]|$))""", re.ASCII)
+#: Marks at the end of a value without quotes that belong to the sentence, and pairs of brackets.
+SENTENCE_MARKS, BRACKETS = ".,;:!?", ("()", "[]", "{}", "<>")
 #: Lower-case parts of which every name in ASSIGN or CONTEXT holds one; a plain search is much faster.
 NAME_PARTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer")
 #: A value is reported if guessing it takes at least ten to this power of tries.
@@ -122,18 +145,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _trimmed(value: str) -> str:
+    """A value without quotes, less the marks at its end that belong to the text around it."""
+    spare = {c: value.count(c) - value.count(o) for o, c in BRACKETS} | {q: value.count(q) % 2 for q in QUOTE_ENDS}
+    end = len(value)
+    while end and (value[end - 1] in SENTENCE_MARKS or spare.get(value[end - 1], 0) > 0):
+        end -= 1
+        if value[end] in spare:
+            spare[value[end]] -= 1
+    return value[:end]
+
+
+def context_values(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, after `` is ``, quoted) of the values in a credential context, which may overlap."""
+    at = blank = 0
+    closes = dict.fromkeys(QUOTE_ENDS, (0, 0, None))  # from, to, and the end of any value that opens between
+    while m := CONTEXT.search(text, at):
+        start = at = m.end()
+        quote = text[start]
+        if quote in QUOTE_ENDS:
+            start += 3 if text.startswith(quote * 3, start) else 1
+            low, high, end = closes[quote]
+            if not low <= start <= high:
+                stop = next((x for x in QUOTE_ENDS[quote].finditer(text, start) if x[0][0] != "\\"), None)
+                end = stop.start() if stop and stop["close"] else None
+                closes[quote] = (start, stop.start() if stop else len(text), end)
+            if end is not None:
+                yield start, end, bool(m[2]), True
+                continue
+        if m[1] and (literal := LITERAL.match(text, start)):
+            yield start, literal.end(), False, False
+            continue
+        if start >= blank:
+            stop = BLANK.search(text, start)
+            blank = stop.start() if stop else len(text)
+        yield start, blank, bool(m[2]), False
+
+
 def all_spans(text: str) -> list[tuple[int, int, int]]:
     base = base_spans(text)
-    more = []
-    for m in CONTEXT.finditer(text) if _names_a_credential(text) else ():
-        start, end = m.span(1)
-        value = text[start:end].rstrip(".!?:")
-        end = start + len(value)
-        if any(s < end and start < e for s, _, e in base):
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    more, done = [], 0
+    for start, stop, stated, quoted in context_values(text) if _names_a_credential(text) else ():
+        if stop <= done:  # within a value that is reported, or within a base span
+            continue
+        value = text[start:stop] if quoted else _trimmed(text[start:stop])
+        before = bisect_right(starts, start)
+        inside = before and start + len(value) <= reach[before - 1]
+        if not inside and (stated and value.isalpha() or guess_log10(value) < MIN_LOG10):
             continue
-        mixed = any(c.isdigit() for c in value) or not value.isalnum()
-        if mixed and guess_log10(value) >= MIN_LOG10:
-            more.append((start, 3, end))
+        if value and not inside:
+            more.append((start, 3, start + len(value)))
+        done = stop
     return sorted(base + more)
 
 

@@ -96,6 +96,40 @@ def test_guess_costs_and_context():
     assert secrets.all_spans("A quiet day. The key was on the table, and the secret is safe: nobody knows.") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("pwd: xkqzjwvbplmrtd", ["xkqzjwvbplmrtd"]),
+        ('pwd = "correcthorsebatterystaple" ok', ["correcthorsebatterystaple"]),
+        ("pwd=x7G!9kQ", ["x7G!9kQ"]),
+        ("pwd: Zq9!(vW#2;Lm8@tR.", ["Zq9!(vW#2;Lm8@tR"]),
+        ("pwd := Zq9vW2Lm8,tRx7, and", ["Zq9vW2Lm8,tRx7"]),
+        ("passphrase => 'it's a long, long way (home)'; x", ["it's a long, long way (home)"]),
+        ('{"client-key": "a\\"b c\\nZq9", "n": 1}', ['a\\"b c\\nZq9']),
+        ('{"pwd":12345,"user":"somebody else"}', []),
+        ('{"pwd":918273645,"user":"somebody else"}', ["918273645"]),
+        ("private_key = '-----BEGIN\nMIIEpQ8x\n-----END'", ["-----BEGIN\nMIIEpQ8x\n-----END"]),
+        ('pwd: "no-closing9 quote\n\n"', ["no-closing9"]),
+        ('pwd = """Zq9!vW#2"""', ["Zq9!vW#2"]),
+        ("auth: Basic dXNlcjpwYXNz", ["dXNlcjpwYXNz"]),
+        ("pwd: client_secret: Zq9!vW#2Lm", ["client_secret", "Zq9!vW#2Lm"]),
+        ('password="abcdef!Zq9(vW#2"', ["abcdef!Zq9(vW#2"]),
+        ("password=abcdefgh1", []),
+        ("the passphrase is unforgettable, pwd is x7G!9kQ.", ["x7G!9kQ"]),
+        ('pwd: "" pwd= , pwd: password1', []),
+    ],
+)
+def test_every_value_is_scored(text, values):
+    spans = [s for s in secrets.all_spans(text) if s[1] == 3]
+    assert [text[start:end] for start, _, end in spans] == values
+    assert not any(value in secrets.redacted(text, secrets.all_spans(text)) for value in values)
+
+
+@pytest.mark.parametrize("unit", ["pwd=", "token=", "pwd='a ", 'pwd="a ', "pwd=)", "pwd=x;", "pwd is "])
+def test_long_texts_of_names_take_linear_time(unit):
+    assert secrets.all_spans(unit * 20000 + ";") is not None
+
+
 def test_secrets_of_rows(docs, no_docs):
     found = docs.select("text", secrets.scan(F.col("text")).alias("s"), secrets.redact(F.col("text")).alias("r"))
     for row in found.collect():
