@@ -35,8 +35,8 @@ def _cut(whole_copies: int):
         rows_in = zip(texts.to_pylist(), spans.to_pylist(), copies.to_pylist(), strict=True)
         for text, span, copy in rows_in:
             raw = (text or "").encode()
-            bounds = np.array(span or (), np.int64).reshape(-1, 2)
-            starts, ends = merged(bounds[:, 0], bounds[:, 1])
+            bounds = np.array(span or (), np.int64)
+            starts, ends = merged(bounds >> 32, bounds & 0xFFFFFFFF)
             if copy > 1 and len(raw.split()) >= whole_copies:
                 starts, ends = np.array([0]), np.array([len(raw)])
             parts, at = [], 0
@@ -58,15 +58,16 @@ def _cut(whole_copies: int):
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, whole_copies: int = 0) -> DataFrame:
     """The rows with a struct ``cut``: the text without its spans, its digest, and counts.
 
-    ``spans`` has (row_1, start, end) in bytes and possibly row_2; they are gathered by document,
-    whose own length bounds them. With ``whole_copies`` the second and later of equal rows lose their whole text if it has
+    ``spans`` has (row_1, start, end) in bytes and possibly row_2; they are gathered by document.
+    Equal rows share one key and report the same spans; each span is held once, from the tasks' partial lists on,
+    so that a document's own length bounds the list however many rows equal it. With ``whole_copies`` the second and later of equal rows lose their whole text if it has
     so many words. Where a cut falls inside a character, ``kept`` holds the replacement character; the digest
     is of the bytes.
     """
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     key = [name for name in ("row_1", "row_2") if name in spans.columns]
-    listed = F.flatten(F.collect_list(F.array("start", "end"))).alias("spans")
-    gathered = spans.groupBy(*key).agg(listed).hint("merge")  # alike at every size
+    span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    gathered = spans.groupBy(*key).agg(F.collect_set(span).alias("spans")).hint("merge")  # alike at every size
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, *row_key(ids, texts))
     joined = keyed.join(gathered, key, "left")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.llm import components, jaccard, mixing, sentences, suffixes, vectors
+from meterline.llm import components, jaccard, mixing, sentences, spans, suffixes, vectors
 from tests.compare import connect, differences
 from tests.conftest import SF_DIR
 from tests.llm.conftest import PASSAGE, ROWS
@@ -264,6 +264,43 @@ def test_equal_rows_keep_one_text(docs):
     assert all(not r.kept.strip() for r in found if r.doc_id == 3)
 
 
+@pytest.mark.parametrize("both_keys", [True, False])
+def test_many_equal_rows_hold_each_span_once(spark, monkeypatch, both_keys):
+    """The list of spans that meets a row is as long as one text's, however many rows are equal."""
+    text, n = "abcdefghij" * 20, 300
+    frame = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    keyed = frame.select(*spans.row_key(F.col("doc_id"), F.col("text"))[: 1 + both_keys])
+    starts = F.explode(F.sequence(F.lit(0), F.lit(150), F.lit(50))).alias("start")
+    found = keyed.repartition(7).select("*", starts).withColumn("end", F.col("start") + 20)
+    plain = spans.without_spans(frame, found, "doc_id", "text").select("cut.*").distinct().collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in plain] == [(200, 80, 4)]
+    assert plain[0].kept == "".join(text[i + 20 : i + 50] for i in range(0, 200, 50))
+    real = spans._cut
+
+    def counting(whole_copies):
+        cut = real(whole_copies)
+
+        def run(texts, held, copies):
+            if max(len(x or ()) for x in held.to_pylist()) > 8:
+                raise ValueError("spans held more than once")
+            return cut(texts, held, copies)
+
+        return run
+
+    monkeypatch.setattr(spans, "_cut", counting)
+    assert spans.without_spans(frame, found, "doc_id", "text", whole_copies=500).count() == n
+    assert spans.without_spans(frame, found, "doc_id", "text").agg(F.sum("cut.n_spans")).first()[0] == 4 * n
+
+
+def test_equal_rows_of_null_ids(spark):
+    rows = [(None, PASSAGE)] * 40 + [(1, "Before. " + PASSAGE)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cut = sentences.dedup_sentences(frame).collect()
+    assert sorted(r.cut.n_removed for r in cut) == [0] + [len(PASSAGE)] * 40
+    cut = suffixes.dedup_bytes(frame, 50, 10).collect()
+    assert {(r.doc_id, r.cut.n_removed) for r in cut} == {(None, len(PASSAGE)), (1, len(PASSAGE))}
+
+
 # ---------------------------------------------------------------- vectors
 
 
