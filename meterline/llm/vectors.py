@@ -4,7 +4,7 @@ Vectors are scaled to length one and projected on fixed random directions. A tab
 a few directions whose signs make a bucket and one more along which the bucket is sorted; a pair
 collides in a table if it shares the bucket and the later value lies in the window centred on
 the earlier one. A pair that collides in at least ``MIN_COUNT`` of the tables is verified: its
-cosine is computed in double precision from the vectors as given.
+cosine is computed in double precision from the vectors as given, scaled by powers of two.
 
 How many collisions a pair has follows from its two vectors alone, so the table with the lowest
 number in which it collides counts all of them on the spot, and no pair is written anywhere:
@@ -56,8 +56,17 @@ def recall(cosine: float = COSINE) -> float:
     return 1 - sum(math.comb(TABLES, k) * p**k * (1 - p) ** (TABLES - k) for k in range(MIN_COUNT))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors (rows) in double precision, each divided by the power of two next above its largest
+    component: exact, and no square overflows or vanishes."""
+    vectors = vectors.astype(np.float64)
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def _projected(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and value of each vector (rows) in each table."""
+    vectors = _scaled(vectors)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     values = (unit @ directions(vectors.shape[1]).T).reshape(len(vectors), TABLES, BITS + 1)
     bucket = (values[:, :, :BITS] > 0) @ (1 << np.arange(BITS))
@@ -112,6 +121,7 @@ def _cell(tab: int, ids: np.ndarray, many: np.ndarray, vectors: np.ndarray, side
     Where the vectors are of two sides, only pairs between the sides count.
     """
     two_sides = side.min() != side.max()
+    vectors = _scaled(vectors)
     buckets, values = _projected(vectors)
     window = WINDOW * math.sqrt(2 - 2 * cosine)
     gap = 2 * (np.abs(values[:, tab]).max() + window)  # buckets lie apart on one line

@@ -335,3 +335,25 @@ def test_near_vectors(spark, task_rows, monkeypatch):
     assert found[606].n_links == found[607].n_links == 1
     assert vectors.near_vectors(frame.limit(0)).count() == 0
     assert vectors.recall() > 0.99
+
+
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_near_vectors_of_any_scale(spark, element):
+    """Every finite vector other than zero keeps its links, whatever its scale."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6, 16))
+    scales = {"float": (1.0, 1e-30, 1e-22, 1e25, 3e37), "double": (1.0, 1e-300, 1e-170, 1e200, 1e306)}[element]
+    rows = [(10 * i + k, (scale * v).tolist(), "a") for i, v in enumerate(base) for k, scale in enumerate(scales)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    frame = frame.withColumn("embedding", F.col("embedding").cast(f"array<{element}>"))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).collect()}
+    assert found == {i: (len(scales) - 1, i - i % 10) for i, _, _ in rows}
+
+
+@pytest.mark.parametrize(("kind", "scales"), [(np.float32, (1e-30, 1e25, 3e37)), (np.float64, (1e-300, 1e200, 1e306))])
+def test_projections_do_not_depend_on_scale(kind, scales):
+    base = np.random.default_rng(3).standard_normal((6, 16)).astype(kind)
+    bucket, value = vectors._projected(base)
+    for scale in scales:
+        same, near = vectors._projected((base * scale).astype(kind))
+        assert (same == bucket).all() and np.allclose(near, value, atol=1e-5)
