@@ -7,9 +7,10 @@ sentence as well, so that the ends of a passage are covered. Runs are joined ove
 those that are not the first with their text, by document id and position, are removed.
 
 Defined results: a null or empty text has no sentences and nothing is removed; a text of fewer
-words than ``min_words`` has no run; texts are cut whole; the second and later of rows equal in
-id and text lose all their text if it has a run; null ids come last in the order. Runs are
-compared by a 64-bit hash and their length.
+words than ``min_words`` has no run; a repeated passage that holds no whole run stays, however
+long; texts are cut whole; the second and later of rows equal in id and text lose all their text
+if it has a run; null ids come last in the order. Runs are compared by a 64-bit hash and their
+length.
 """
 
 from __future__ import annotations
