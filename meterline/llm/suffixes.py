@@ -10,9 +10,9 @@ segment. Equal windows have equal anchors, so
 
 A shard's segments are laid end to end and their suffix array is built by induced sorting:
 suffixes are classed as larger or smaller than the next, leftmost-smaller substrings are named
-and sorted recursively, and all other suffixes follow by two linear passes. Common prefixes are
-then compared in text order for neighbours of the array; windows whose common prefix with a
-neighbour is as long as a window are repeated. A shard too large for one task is dealt out, and
+and sorted recursively, and all other suffixes follow by two linear passes. Neighbours of the
+array are then tested, in text order, for equal bytes over the length of a window; prefix lengths
+themselves are not formed. Windows that equal a neighbour are repeated. A shard too large for one task is dealt out, and
 windows that are alone in their part are compared with the other parts by 128-bit digests.
 
 Defined results: null is empty; texts shorter than the window keep all bytes; matches never
@@ -181,7 +181,7 @@ def repeated_windows(data: bytes, window: np.ndarray, length: int) -> tuple[np.n
     packed = np.zeros(len(data), np.uint64)
     for k in range(8):
         packed |= words[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
-    # Common prefixes with the suffix before, taken in text order.
+    # Is the suffix before equal over ``length`` bytes? Taken in text order; no prefix lengths are formed.
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
     here = np.flatnonzero(before >= 0)
