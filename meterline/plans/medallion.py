@@ -122,19 +122,20 @@ def refresh_days(
 ) -> DataFrame:
     """Take in the usage of some days again: only the months of these days are rewritten.
 
-    A month that has lost all its rows keeps the old ones until the next full refresh.
+    A month of these that has lost all its rows loses the stored ones too.
     """
     settings = settings or Settings.load(spark)
     begin, end = F.lit(first).cast("date"), F.lit(last).cast("date")
     dated = usage.normalise_date(usage.select_existing(scan_usage(spark, settings)), on_bad_date)
     wanted = dated.filter(F.col("usage_date").between(F.trunc(begin, "month"), F.last_day(end)))
     records = _in_months(enforce(wanted, usage.record_constraints(settings.tenants)))
-    stored_bronze = replace_partitions(records, settings.qualified(names.BRONZE_TABLE))
     months = F.col("usage_month").between(F.trunc(begin, "month"), end)
+    stored_bronze = replace_partitions(records, settings.qualified(names.BRONZE_TABLE), within=months)
     daily = _in_months(enforce(usage.daily_usage(stored_bronze.filter(months)), usage.DAILY_CONSTRAINTS))
     order = ("usage_date", "tenant_name")
-    stored_silver = replace_partitions(daily, settings.qualified(names.SILVER_TABLE), order)
+    stored_silver = replace_partitions(daily, settings.qualified(names.SILVER_TABLE), order, months)
     price = scan_dataset(spark, settings.qualified(settings.price_table))
     rows = gold(stored_silver.filter(months), price)
-    stored = replace_partitions(rows, settings.qualified(settings.gold_table), _GOLD_ORDER)
+    billed = F.make_date(*_MONTH, F.lit(1)).between(F.trunc(begin, "month"), end)
+    stored = replace_partitions(rows, settings.qualified(settings.gold_table), _GOLD_ORDER, billed)
     return stored.select(*billing.GOLD_COLUMNS)

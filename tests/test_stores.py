@@ -191,3 +191,21 @@ def test_an_added_day_rewrites_its_month_only(spark, database, rows):
     new = set(spark.table(names.GOLD_TABLE).inputFiles()) ^ before
     assert new and all("year=1996/month=3/" in file for file in new)
     assert rows(gold) == rows(inputs.gold(spark, SF_DIR))
+
+
+def test_a_month_without_rows_is_dropped(spark, database, rows):
+    from meterline.registry import inputs
+    from tests.conftest import SF_DIR
+
+    usage = inputs.usage(spark, SF_DIR)
+    left = usage.filter("usage_date NOT BETWEEN '1996-03-01' AND '1996-03-31'")
+    settings = Settings("usage_records", inputs.TENANTS)
+    sinks.materialize(inputs.price(spark, SF_DIR), names.PRICE_TABLE)
+    sinks.materialize(usage, "usage_records")
+    medallion.refresh(spark, settings)
+    sinks.materialize(left, "usage_records")
+    found = rows(medallion.refresh_days(spark, "1996-03-10", "1996-04-02", settings))
+    kept = {name: rows(spark.table(name)) for name in (names.BRONZE_TABLE, names.SILVER_TABLE)}
+    assert spark.table(names.BRONZE_TABLE).filter("usage_month = '1996-03-01'").isEmpty()
+    assert found == rows(medallion.refresh(spark, settings))
+    assert kept == {name: rows(spark.table(name)) for name in kept}
