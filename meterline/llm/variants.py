@@ -41,7 +41,7 @@ SAMPLE = 1 << 16
 #: Words, and bytes of their letters and counts, that one side of a block should have.
 BLOCK_WORDS = 1 << 15
 BLOCK_BYTES = 32 << 20
-LEAF = 32
+LEAF = 64
 #: Letters compared at a time.
 COMPARED = 1 << 23
 
@@ -179,45 +179,75 @@ class Tree:
                 todo.append((int(self.right[node]), rows[ok], new[ok], down[ok]))
 
 
-def _replaced(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that differ in one place, where the point has the later letter."""
-    differs = queries[:, None, :] != points[None, :, :]
-    q, p = np.nonzero(np.count_nonzero(differs, axis=2) == 1)
-    at = differs[q, p].argmax(axis=1)
-    later = points[p, at] > queries[q, at]
-    return q[later], p[later]
-
-
-def _inserted(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of which the point has one letter more: what agrees from either end covers the query."""
-    size = queries.shape[1]
-    # Without the letter after the part that agrees from the front, the point must be the query.
-    differs = queries[:, None, :] != points[None, :, :size]
-    front = np.where(differs.any(axis=2), differs.argmax(axis=2), size)
-    after = queries[:, None, :] != points[None, :, 1:]
-    back = np.where(after.any(axis=2), after[:, :, ::-1].argmax(axis=2), size)
-    return np.nonzero(front + back >= size)
-
-
-def near_pairs(queries: list[str], points: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, point) one edit apart. All queries have one length, and all points that or one more."""
-    if not (queries and points):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right = letters(queries), letters(points)
-    replaced = left.shape[1] == right.shape[1]
-    tree, leaves = Tree.fit(letter_counts(right), LEAF)
-    compare = _replaced if replaced else _inserted
-    found = []
-    for leaf, rows in tree.near(letter_counts(left), replaced):
-        own = leaves[leaf]
-        # Points that are all alike in their letters may be many in one leaf.
-        for b in range(0, len(own), 4096):
-            some = own[b : b + 4096]
-            step = max(1, COMPARED // (len(some) * right.shape[1]))
-            for a in range(0, len(rows), step):
-                q, p = compare(left[rows[a : a + step]], right[some])
-                found.append((rows[a : a + step][q], some[p]))
-    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+def _packed(rows: np.ndarray) -> np.ndarray:
+    """Letter numbers, which are below 128, eight to a value."""
+    width = -(-rows.shape[1] // 8)
+    padded = np.zeros((len(rows), 8 * width), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(np.uint64)
+
+
+_SEVENS, _TOPS = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+class _Words:
+    """Words of one length in the forms that are compared."""
+
+    def __init__(self, words: list[str]):
+        self.letters = letters(words)
+        self.counts = letter_counts(self.letters)
+        self.packed = _packed(self.letters)
+        wide = self.letters.astype(np.int64)
+        self.sums, self.squares = wide.sum(axis=1), (wide * wide).sum(axis=1)
+
+    def replaced(self, rows: np.ndarray, points: _Words, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that differ in one place, where the point has the later letter."""
+        n = np.zeros((len(rows), len(others)), np.uint8)
+        for k in range(self.packed.shape[1]):
+            differs = self.packed[rows, k][:, None] ^ points.packed[others, k][None, :]
+            n = np.minimum(n + np.bitwise_count((differs + _SEVENS) & _TOPS), 2)
+        q, p = np.nonzero(n == 1)
+        q, p = rows[q], others[p]
+        later = points.sums[p] > self.sums[q]
+        return q[later], p[later]
+
+    def inserted(self, rows: np.ndarray, points: _Words, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which the point has one letter more: what agrees from either end covers the query.
+
+        The letter that comes in is the difference of the sums, and its square that of the squares.
+        """
+        letter = points.sums[others][None, :] - self.sums[rows][:, None]
+        q, p = np.nonzero(points.squares[others][None, :] - self.squares[rows][:, None] == letter * letter)
+        q, p = rows[q], others[p]
+        query, point, size = self.letters[q], points.letters[p], self.letters.shape[1]
+        front = np.logical_and.accumulate(query == point[:, :size], axis=1).sum(axis=1)
+        back = np.logical_and.accumulate((query == point[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+        near = front + back >= size
+        return q[near], p[near]
+
+
+class Index:
+    """Words of one length in a tree."""
+
+    def __init__(self, points: list[str]):
+        self.points = _Words(points)
+        self.tree, self.leaves = Tree.fit(self.points.counts, LEAF)
+
+    def near(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) one edit apart. All queries have the length of the points, or one less."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        asked = _Words(queries)
+        length = self.points.letters.shape[1]
+        replaced = asked.letters.shape[1] == length
+        compare = asked.replaced if replaced else asked.inserted
+        for leaf, rows in self.tree.near(asked.counts, replaced):
+            own = self.leaves[leaf]
+            # Points that are all alike in their letters may be many in one leaf.
+            for b in range(0, len(own), 4096):
+                some = own[b : b + 4096]
+                step = max(1, COMPARED // (len(some) * length))
+                found += [compare(rows[a : a + step], self.points, some) for a in range(0, len(rows), step)]
+        return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
 # ---------------------------------------------------------------- the vocabulary in cells
@@ -289,12 +319,13 @@ def _meet(key: tuple, rows: pa.Table) -> pa.Table:
     """Near pairs of the queries and points of one block."""
     role, words, n = rows["query"].to_numpy(), rows["word"].combine_chunks(), rows["n"].to_numpy()
     points = np.flatnonzero(role == 0)
-    point_words = words.take(pa.array(points)).to_pylist()
-    found = []
+    found = [(np.zeros(0, np.int64),) * 2]
+    index = Index(words.take(pa.array(points)).to_pylist()) if len(points) else None
     for query in (1, 2):
         asking = np.flatnonzero(role == query)
-        q, p = near_pairs(words.take(pa.array(asking)).to_pylist(), point_words)
-        found.append((asking[q], points[p]))
+        if index and len(asking):
+            q, p = index.near(words.take(pa.array(asking)).to_pylist())
+            found.append((asking[q], points[p]))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     columns = [words.take(pa.array(a)), pa.array(n[a]), words.take(pa.array(b)), pa.array(n[b])]
     return pa.table([columns[0].cast(pa.string()), columns[1], columns[2].cast(pa.string()), columns[3]], ["word", "n", "other", "other_n"])
