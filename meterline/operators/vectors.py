@@ -119,13 +119,14 @@ def _best(candidates: pa.Table, k: int) -> pa.Table:
 class _Scan:
     """The best k chunks per target while chunks are read.
 
-    Each target has a floor, its k-th score so far; only scores that reach it are kept, and
-    candidates are merged when many have gathered.
+    Each target has a floor, its k-th score so far or a given one; only scores that reach it
+    are kept, and candidates are merged when many have gathered.
     """
 
-    def __init__(self, targets: np.ndarray, k: int):
+    def __init__(self, targets: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.targets, self.k = targets, k
-        self.floor = np.full(len(targets), -np.inf)
+        self.given = np.full(len(targets), -np.inf) if floor is None else floor
+        self.floor = self.given
         self.best: pa.Table | None = None
         self.pending: list[pa.Table] = []
         self.held = 0
@@ -160,7 +161,7 @@ class _Scan:
             full = np.bincount(question, minlength=len(self.targets)) == self.k
             least = np.full(len(self.targets), np.inf)
             np.minimum.at(least, question, self.best["score"].to_numpy())
-            self.floor = np.where(full, least, -np.inf)
+            self.floor = np.maximum(self.given, np.where(full, least, -np.inf))
 
     def result(self) -> pa.Table | None:
         if self.pending:

@@ -273,6 +273,12 @@ def _kpis(part: str, condition: str = "TRUE") -> str:
 
 _RATES = "as_of_ts, base_ccy, quote_ccy, fx_rate"
 
+_EVERY_NEIGHBOUR = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
+    FROM embeddings), s AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id,
+    round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a CROSS JOIN v b)
+    SELECT *, CAST(row_number() OVER (PARTITION BY question_id
+    ORDER BY score DESC, chunk_id) AS INTEGER) AS hit_rank FROM s QUALIFY hit_rank <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "scan_usage": _all("usage"),
     "scan_dataset": _all("price"),
@@ -373,11 +379,9 @@ ORACLE_SQL: dict[str, str] = {
     "stream_dataset": _all("pair_ticks", _RATES),
     "append_stream": _all("krw"),
     "vector_top_k": _all("found"),
-    "vector_top_k_grid": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
-        FROM embeddings), s AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id,
-        round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a CROSS JOIN v b)
-        SELECT *, CAST(row_number() OVER (PARTITION BY question_id
-        ORDER BY score DESC, chunk_id) AS INTEGER) AS hit_rank FROM s QUALIFY hit_rank <= 5""",
+    "vector_top_k_grid": _EVERY_NEIGHBOUR,
+    "vector_index": "SELECT vec_id AS chunk_id, TRUE AS inside FROM embeddings",
+    "vector_top_k_indexed": _EVERY_NEIGHBOUR,
     "retrieve": _all("scored"),
     "rank_hits_in_tenant": _all("ranked", "question_id, row_id, tenant_key, score, tenant_rank"),
     "best_score": _all("ranked", "question_id, row_id, tenant_key, best_score"),

@@ -12,6 +12,7 @@ from meterline import sinks
 from meterline.functions import models, responses, text
 from meterline.operators import billing, facets, fx, hits, measures, usage
 from meterline.operators.constraints import violations
+from meterline.operators.vector_index import build_index, search_index
 from meterline.operators.vectors import vector_top_k
 from meterline.plans import answers, dashboard, medallion
 from meterline.registry import inputs
@@ -375,6 +376,26 @@ def vector_top_k_grid(spark, sf_dir):
     return vector_top_k(chunks, questions, inputs.TOP_K)
 
 
+def _index(spark, sf_dir):
+    return build_index(inputs.vectors(spark, sf_dir), scratch_dir(spark, "index"))
+
+
+@query
+def vector_index(spark, sf_dir):
+    """Every chunk of the index, and whether it lies within the reach of its cluster."""
+    index = _index(spark, sf_dir)
+    reached = index.members.join(index.clusters, "cluster", "left")
+    inside = (F.col("near") >= F.col("least")) & (F.col("n") > 0)
+    return reached.select("chunk_id", inside.alias("inside"))
+
+
+@query
+def vector_top_k_indexed(spark, sf_dir):
+    """Every vector asks the stored index for its neighbours."""
+    asked = inputs.vectors(spark, sf_dir).withColumnRenamed("chunk_id", "question_id")
+    return search_index(_index(spark, sf_dir), asked, inputs.TOP_K).hits
+
+
 @query
 def retrieve(spark, sf_dir):
     return inputs.found_chunks(spark, sf_dir).select(
