@@ -119,7 +119,8 @@ def open_index(spark: SparkSession, path: str, chunk_id: str = "chunk_id") -> Ve
     clusters = rows.groupBy("cluster").agg(
         F.first("centre").alias("centre"), F.min("least").alias("least"), F.sum("n").alias("n")
     )
-    return VectorIndex(spark.read.parquet(f"{path}/members"), clusters, chunk_id)
+    columns = spark.read.parquet(f"{path}/columns").schema  # an index may have no member
+    return VectorIndex(spark.read.schema(columns).parquet(f"{path}/members"), clusters, chunk_id)
 
 
 def extend_index(
@@ -170,6 +171,7 @@ def _write(given: DataFrame, centres: np.ndarray, path: str, chunk_id: str) -> N
         "cluster", "centre", F.coalesce("least", F.lit(1.0)).alias("least"), F.coalesce("n", F.lit(0)).alias("n")
     )
     every.coalesce(1).write.mode("append").parquet(f"{path}/clusters")
+    placed.limit(0).write.mode("ignore").parquet(f"{path}/columns")
     # Large clusters are split into files and small ones merged.
     placed.hint("rebalance", "cluster").write.mode("append").partitionBy("cluster").parquet(f"{path}/members")
 
@@ -233,7 +235,7 @@ def _planned(state: DataFrame) -> T.StructType:
 def _next_clusters(spark: SparkSession, held: pa.Table, step: int):
     """Adds to each question the clusters that it visits next: the first ones by falling bound that may hold a hit."""
     numbers = held.column("cluster").to_numpy()
-    longest = max((len(c) for c in held.column("centre").to_pylist()), default=1)
+    longest = max((len(c) for c in held.column("centre").to_pylist()), default=1) or 1
     centres = np.array([c or [0.0] * longest for c in held.column("centre").to_pylist()]).reshape(-1, longest)
     radius = np.arccos(np.clip(held.column("least").to_numpy(), -1.0, 1.0))
     shared = spark.sparkContext.broadcast((numbers, centres, radius))

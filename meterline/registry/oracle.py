@@ -368,6 +368,13 @@ ORACLE_SQL: dict[str, str] = {
         "gold",
         "pair_ticks",
     ),
+    "stream_changed_cost": _sql(
+        f"""SELECT gold.*, {_RATES}, est_cost_usd * fx_rate AS est_cost_krw FROM gold CROSS JOIN
+        (SELECT {_RATES} FROM pair_ticks WHERE as_of_ts IS NOT NULL AND fx_rate IS NOT NULL
+        ORDER BY as_of_ts DESC, fx_rate DESC LIMIT 1)""",
+        "gold",
+        "pair_ticks",
+    ),
     "fx_cross_join": _all("krw"),
     "fx_cross_join_grid": _all("krw"),
     "stream_fx_files": _all("ticks", _RATES),
@@ -378,6 +385,13 @@ ORACLE_SQL: dict[str, str] = {
         || event_id || '}' END AS _rescued FROM events""",
     "stream_dataset": _all("pair_ticks", _RATES),
     "append_stream": _all("krw"),
+    "replace_stream": _all("ticks", _RATES),
+    "stream_changed_rates": _sql(
+        f"""SELECT {_RATES} FROM ticks WHERE as_of_ts IS NOT NULL AND fx_rate IS NOT NULL AND base_ccy IS NOT NULL
+        AND quote_ccy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY base_ccy, quote_ccy
+        ORDER BY as_of_ts DESC, fx_rate DESC) = 1""",
+        "ticks",
+    ),
     "vector_top_k": _all("found"),
     "vector_top_k_grid": _EVERY_NEIGHBOUR,
     "vector_index": "SELECT vec_id AS chunk_id, TRUE AS inside FROM embeddings",

@@ -20,6 +20,7 @@ from meterline.session import scratch_dir
 from meterline.settings import Settings
 from meterline.sources import files, tables
 from meterline.streaming import fx as fx_streams
+from meterline.streaming import rates as rate_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -355,6 +356,33 @@ def append_stream(spark, sf_dir):
     return _plain_time(_stored(spark, converted))
 
 
+@query
+def stream_changed_rates(spark, sf_dir):
+    """Newest tick of every currency pair, from the state of a stream over all events."""
+    arriving = fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir))
+    return _plain_time(_stored(spark, rate_streams.changed_rates(arriving)))
+
+
+@query
+def replace_stream(spark, sf_dir):
+    """All rates, each micro-batch in a partition that a second run would replace."""
+    arriving = fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir))
+    target = scratch_dir(spark, "replaced")
+    rate_streams.replace_stream(arriving, scratch_dir(spark, "progress"), path=target).awaitTermination()
+    return _plain_time(spark.read.parquet(target).select(*arriving.columns))
+
+
+@query
+def stream_changed_cost(spark, sf_dir):
+    """Rate files to the monthly costs at the newest rate: one converted copy for the one change."""
+    arriving = fx.fx_pair_filter(fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir)))
+    target, gold = scratch_dir(spark, "changed"), inputs.gold(spark, sf_dir)
+    started = rate_streams.convert_on_change(lambda: gold, arriving, scratch_dir(spark, "progress"), path=target)
+    started.awaitTermination()
+    columns = [*gold.columns, *arriving.columns, "est_cost_krw"]
+    return _plain_time(spark.read.parquet(target).select(*columns))
+
+
 # Search.
 
 
