@@ -33,10 +33,14 @@ MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bytes of text for which a task finds new units at a time; a longer text is handled alone.
 BATCH_BYTES = 1 << 21
+#: Ids that a task decodes at a time; those of a longer text are decoded alone.
+BATCH_IDS = 1 << 18
+#: Rows that ``round_trip`` encodes and decodes at a time.
+BATCH_ROWS = 1000
 #: Units that a worker remembers before it forgets them all.
-KNOWN_UNITS = 150_000
+KNOWN_UNITS = 250_000
 #: Bytes of new units in one suffix array.
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 1 << 19
 _SEEN_SLOTS = 1 << 20
 _U = np.uint64
 
@@ -360,25 +364,46 @@ def _encode(vocabulary: Vocabulary):
 
 
 @cache
-def _raw(vocabulary: Vocabulary) -> list[bytes]:
-    raw = [p.encode() if p else b"" for p in vocabulary.pieces]
-    for value, i in enumerate(vocabulary.byte_ids):
+def _raw(pieces: tuple[str | None, ...], byte_ids: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces end to end, blanks for marks, and where each begins."""
+    raw = [p.replace(MARK, " ").encode() if p else b"" for p in pieces]
+    for value, i in enumerate(byte_ids):
         raw[i] = bytes([value])
-    return raw
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
 
 
-def decoded(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
-    raw = _raw(vocabulary)
-    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+def _joined(raw: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of these pieces end to end, and the place up to which each goes."""
+    data, begins = raw
+    size = begins[ids + 1] - begins[ids]
+    ends = np.cumsum(size)
+    return data[np.repeat(begins[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _text(data: bytes) -> str:
+    text = data.decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
+def decoded(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
+    data, _ = _joined(_raw(vocabulary.pieces, vocabulary.byte_ids), np.fromiter(ids, np.int64))
+    return _text(data.tobytes())
+
+
 def _decode(vocabulary: Vocabulary):
     def run(ids: pa.Array) -> pa.Array:
-        values = ids.values.to_numpy()
-        bounds = zip(ids.offsets.to_pylist(), ids.offsets.to_pylist()[1:], ids.is_valid().to_pylist(), strict=False)
-        texts = [decoded(vocabulary, values[a:b].tolist()) if valid else None for a, b, valid in bounds]
-        return pa.array(texts, pa.string())
+        raw = _raw(vocabulary.pieces, vocabulary.byte_ids)
+        values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
+        texts, at = [], 0
+        while at < len(ids):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BATCH_IDS, "right")) - 1)
+            end = min(end, len(ids))
+            data, ends = _joined(raw, values[bounds[at] : bounds[end]])
+            cuts = np.concatenate(([0], ends))[bounds[at : end + 1] - bounds[at]].tolist()
+            data = data.tobytes()
+            texts += [_text(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            at = end
+        return pa.array(texts, pa.string(), mask=~ids.is_valid().to_numpy(zero_copy_only=False))
 
     return run
 
@@ -392,13 +417,35 @@ def decode(ids: Column, path: str = MODEL_PATH) -> Column:
     return F.arrow_udf(_decode(Vocabulary.load(path)), "string").asNondeterministic()(ids)
 
 
+def _round_trip(vocabulary: Vocabulary):
+    there, back = _encode(vocabulary), _decode(vocabulary)
+
+    def run(texts: pa.Array) -> pa.Array:
+        ids, same = [], []
+        for at in range(0, len(texts), BATCH_ROWS):
+            some = texts.slice(at, BATCH_ROWS).cast(pa.string())
+            ids.append(there(some))
+            both_null = pc.and_(some.is_null(), ids[-1].is_null())
+            same.append(pc.or_(both_null, pc.fill_null(pc.equal(back(ids[-1]), some), False)))
+        ids = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
+        same = pa.concat_arrays(same) if same else pa.array([], pa.bool_())
+        return pa.StructArray.from_arrays([ids, same], ["ids", "same"])
+
+    return run
+
+
+def round_trip(text: Column, path: str = MODEL_PATH) -> Column:
+    """A struct of the ids and whether decoding them gives the text back, which is null for null, by one worker."""
+    udf = F.arrow_udf(_round_trip(Vocabulary.load(path)), "ids array<int>, same boolean")
+    return udf.asNondeterministic()(text)
+
+
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
     """The pieces of each text, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", encode(F.col("text")).alias("ids"))
-    back = docs.select("doc_id", "text", "ids", decode(F.col("ids")).alias("back"))
-    return back.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text")).alias("trip"))
+    return docs.select(
         "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        "ids",
-        F.col("back").eqNullSafe(F.col("text")).alias("same"),
+        F.coalesce(F.size("trip.ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "trip.ids",
+        "trip.same",
     )

@@ -155,6 +155,31 @@ def test_pieces_equal_the_library(spark, docs, no_docs):
         assert row.ids == (None if row.text is None else model.encode(row.text))
         assert row.back == (row.text if row.text is None else row.text.replace("▁", " "))
     assert no_docs.select(pieces.encode(F.col("text"))).count() == 0
+    trips = texts.select("text", pieces.round_trip(F.col("text")).alias("trip")).collect()
+    for row in trips:
+        assert row.trip.ids == (None if row.text is None else model.encode(row.text))
+        assert row.trip.same == (row.text is None or "▁" not in row.text)
+    assert no_docs.select(pieces.round_trip(F.col("text"))).count() == 0
+
+
+def test_decoding_any_ids(spark, monkeypatch):
+    """Ids of no text: bytes that are no character, control pieces, empty and null lists, in small batches."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "BATCH_IDS", 7)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    vocabulary = pieces.Vocabulary.load()
+    rng = random.Random(9)
+    some = [i for i, p in enumerate(vocabulary.pieces) if p and i not in vocabulary.byte_ids]
+    lists = [[], None, *([*rng.choices(some, k=rng.randrange(12))] for _ in range(40))]
+    lists += [[vocabulary.byte_ids[0xE2], some[5]], [vocabulary.byte_ids[b] for b in "é☃".encode()]]
+    decode = pieces._decode(vocabulary)
+    have = decode(pieces.pa.array(lists, pieces.pa.list_(pieces.pa.int32()))).to_pylist()
+    for ids, text in zip(lists, have, strict=True):
+        assert text == (None if ids is None else pieces.decoded(vocabulary, ids))
+        if ids is not None and not set(ids) & set(vocabulary.byte_ids):
+            assert text == model.decode(ids)
+    assert have[-1] == "é☃" and have[-2].startswith("\ufffd")
 
 
 ALPHABET = [*chats.CONTROLS, chats.BREAK, "0", "1", "<", "[", "a", "\n", "|", "/", "é"]
