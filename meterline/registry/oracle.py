@@ -271,6 +271,18 @@ def _kpis(part: str, condition: str = "TRUE") -> str:
     )
 
 
+def _broken(rules: dict[str, str]) -> str:
+    """Names of the rules that a row breaks, NULL if none."""
+    listed = ", ".join(f"CASE WHEN NOT coalesce({rule}, FALSE) THEN '{name}' END" for name, rule in rules.items())
+    return f"nullif(concat_ws(',', {listed}), '')"
+
+
+def _history() -> str:
+    report = _violations("usage", _RECORD_RULES, "drop")
+    return f"""SELECT refresh_id, 'bronze' AS stage, r."constraint", r.action, r.n_rows, r.n_failed
+        FROM (VALUES ('1'), ('2')) t(refresh_id) CROSS JOIN ({report}) r"""
+
+
 _RATES = "as_of_ts, base_ccy, quote_ccy, fx_rate"
 
 _EVERY_NEIGHBOUR = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
@@ -478,10 +490,17 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "materialize": _all("gold"),
     "refresh_report": _report(),
+    "absorbed_gold": _all("gold"),
     "use_namespace": _all("price"),
     "reset_guard": _sql("SELECT TRUE AS refused, count(*) AS n_rows FROM price", "price"),
     "temp_view": _all("gold"),
     "load_fixture": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
         CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
         c_mktsegment FROM customer""",
+    "load_fixture_json": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
+    "quarantined": _sql(
+        f"SELECT *, {_broken(_RECORD_RULES)} AS broken_rules FROM usage WHERE broken_rules IS NOT NULL", "usage"
+    ),
+    "kept_after_quarantine": _all("bronze"),
+    "rule_history": _history(),
 }

@@ -14,7 +14,7 @@ from meterline.operators import billing, facets, fx, hits, measures, usage
 from meterline.operators.constraints import violations
 from meterline.operators.vector_index import build_index, search_index
 from meterline.operators.vectors import vector_top_k
-from meterline.plans import answers, dashboard, medallion
+from meterline.plans import answers, dashboard, maintained, medallion, quarantine
 from meterline.registry import inputs
 from meterline.session import scratch_dir
 from meterline.settings import Settings
@@ -687,6 +687,20 @@ def refresh_report(spark, sf_dir):
     return medallion.refresh_reported(spark, settings).report
 
 
+@query
+def absorbed_gold(spark, sf_dir):
+    """The monthly table after a refresh without some of the records, which then come late."""
+    schema = f"meterline_{scratch_dir(spark, 'db').rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{scratch_dir(spark, 'schema')}'")
+    settings = Settings(f"{schema}.usage_records", inputs.TENANTS, schema=schema)
+    every = sinks.materialize(inputs.usage(spark, sf_dir), f"{schema}.all_records")
+    comes_late = F.coalesce(F.dayofmonth("usage_date") == 17, F.lit(False)) & (F.col("record_id") % 3 == 0)
+    sinks.materialize(every.filter(~comes_late), settings.source_table)
+    sinks.materialize(inputs.price(spark, sf_dir), settings.qualified(settings.price_table))
+    medallion.refresh(spark, settings)
+    return maintained.absorb(spark, every.filter(comes_late), settings)
+
+
 @query
 def use_namespace(spark, sf_dir):
     """Prices stored in a schema and read by an unqualified name."""
@@ -731,3 +745,49 @@ def load_fixture(spark, sf_dir):
     inputs.table(spark, sf_dir, "customer").write.option("header", True).csv(folder)
     return files.load_fixture(spark, folder)
 
+
+
+@query
+def load_fixture_json(spark, sf_dir):
+    """Suppliers written as lists of JSON records, a file for each nation, and read back with the types found."""
+    folder = scratch_dir(spark, "fixture") + ".json"
+    suppliers = inputs.table(spark, sf_dir, "supplier")
+    record = F.struct(*suppliers.columns)
+    listed = suppliers.groupBy(F.col("s_nationkey").alias("nation")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    listed.write.partitionBy("nation").text(folder)
+    return files.load_fixture(spark, folder).select(*suppliers.columns)
+
+
+# Rows that break rules.
+
+
+def _split_usage(spark, sf_dir) -> tuple[quarantine.Split, str]:
+    schema = f"meterline_{scratch_dir(spark, 'db').rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{scratch_dir(spark, 'schema')}'")
+    rules = usage.record_constraints(inputs.TENANTS)
+    records = usage.select_existing(inputs.usage(spark, sf_dir))
+    return quarantine.store_split(records, rules, f"{schema}.judged_usage"), schema
+
+
+@query
+def quarantined(spark, sf_dir):
+    """Usage records that the rules reject, with the names of those they break."""
+    split, _ = _split_usage(spark, sf_dir)
+    return split.rejected.withColumn(quarantine.BROKEN, F.array_join(quarantine.BROKEN, ","))
+
+
+@query
+def kept_after_quarantine(spark, sf_dir):
+    """Usage records that no rule rejects, from the same pass."""
+    return _split_usage(spark, sf_dir)[0].kept
+
+
+@query
+def rule_history(spark, sf_dir):
+    """Counts of two refreshes, the second of which is recorded twice."""
+    split, schema = _split_usage(spark, sf_dir)
+    rules = usage.record_constraints(inputs.TENANTS)
+    for refresh_id in ("1", "2", "2"):
+        counts = quarantine.rule_counts(split, rules, "bronze", refresh_id)
+        stored = quarantine.record_history(counts, f"{schema}.rule_history")
+    return stored.select("refresh_id", "stage", "constraint", "action", "n_rows", "n_failed")
