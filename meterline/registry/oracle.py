@@ -395,6 +395,10 @@ ORACLE_SQL: dict[str, str] = {
         CASE event_type WHEN 'error' THEN 'no rate ' || event_id WHEN 'view' THEN
         CASE WHEN value IS NULL THEN '{"desk":' ELSE '{"fx_rate":' || value || ',"desk":' END
         || event_id || '}' END AS _rescued FROM events""",
+    "grown_rates": """SELECT CASE WHEN event_type NOT IN ('view', 'error') THEN 'USD' END AS base_ccy,
+        CASE WHEN event_type <> 'error' THEN value END AS fx_rate,
+        CASE WHEN event_type = 'view' THEN CAST(event_id AS VARCHAR) END AS desk,
+        CASE WHEN event_type = 'error' THEN 'no rate ' || event_id END AS _rescued FROM events""",
     "stream_dataset": _all("pair_ticks", _RATES),
     "append_stream": _all("krw"),
     "replace_stream": _all("ticks", _RATES),

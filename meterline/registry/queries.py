@@ -19,6 +19,7 @@ from meterline.registry import inputs
 from meterline.session import scratch_dir
 from meterline.settings import Settings
 from meterline.sources import files, tables
+from meterline.streaming import fields as rate_fields
 from meterline.streaming import fx as fx_streams
 from meterline.streaming import rates as rate_streams
 
@@ -322,8 +323,7 @@ def stream_fx_files(spark, sf_dir):
     return _plain_time(_stored(spark, fx_streams.fx_file_stream(spark, _fx_files(spark, sf_dir))))
 
 
-@query
-def stream_fx_lines(spark, sf_dir):
+def _fx_lines(spark, sf_dir) -> str:
     """All events as lines, those of one type with a further field and some that are no JSON."""
     folder = scratch_dir(spark, "fx-lines")
     event = inputs.table(spark, sf_dir, "events")
@@ -332,10 +332,25 @@ def stream_fx_lines(spark, sf_dir):
     bad = F.concat(F.lit("no rate "), F.col("event_id").cast("string"))
     kind = F.col("event_type")
     event.select(F.when(kind == "view", more).when(kind == "error", bad).otherwise(rate)).write.text(folder)
+    return folder
+
+
+@query
+def stream_fx_lines(spark, sf_dir):
+    folder = _fx_lines(spark, sf_dir)
     lines = _stored(spark, fx_streams.fx_line_stream(spark, folder))
     return lines.select("base_ccy", "fx_rate", "_rescued")
 
 
+@query
+def grown_rates(spark, sf_dir):
+    """The same lines after the further field has been listed and filled in."""
+    path = scratch_dir(spark, "grown")
+    rate_fields.take_in(spark, _fx_lines(spark, sf_dir), path, scratch_dir(spark, "progress")).awaitTermination()
+    rate_fields.grow_fields(rate_fields.stored_rates(spark, path), path)
+    return rate_fields.stored_rates(spark, path).select("base_ccy", "fx_rate", "desk", "_rescued")
+
+
 @query
 def stream_dataset(spark, sf_dir):
     """Stored rates read as a stream, through a streaming view of one pair."""

@@ -60,26 +60,32 @@ def fx_file_stream(
 
 
 def fx_line_stream(
-    spark: SparkSession, path: str, max_files: int | None = MAX_FILES, glob: str | None = None
+    spark: SparkSession, path: str, max_files: int | None = MAX_FILES, glob: str | None = None, further: Sequence[str] = ()
 ) -> DataFrame:
     """New files of JSON lines as rates; what the four fields cannot hold stays as text.
 
     ``_rescued`` is the whole line if it is no JSON object, has further fields, or has a value
-    that is not of its field's type, and NULL otherwise. Empty lines are skipped.
+    that is not of its field's type, and NULL otherwise. Empty lines are skipped. Fields named
+    in ``further`` are text columns; other values than text are given as their JSON.
     """
     reader = spark.readStream
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).filter(F.trim("value") != "")
-    rate = F.from_json("value", FX_SCHEMA).alias("rate")
+    return parsed_lines(reader.text(path).filter(F.trim("value") != ""), further)
+
+
+def parsed_lines(lines: DataFrame, further: Sequence[str] = ()) -> DataFrame:
+    """Lines (value) as rates with the further fields and ``_rescued``; works on batches and on streams."""
+    fields = T.StructType([*FX_SCHEMA.fields, *(T.StructField(name, T.StringType()) for name in further)])
+    rate = F.from_json("value", fields).alias("rate")
     keys = F.json_object_keys("value")
-    further = F.size(F.array_except(keys, F.array(*map(F.lit, FX_SCHEMA.names)))) > 0
+    unknown = F.size(F.array_except(keys, F.array(*map(F.lit, fields.names)))) > 0
     unread = F.lit(False)
     for name in FX_SCHEMA.names:
         unread = unread | (F.get_json_object("value", f"$.{name}").isNotNull() & F.col(f"rate.{name}").isNull())
-    rescued = F.when(keys.isNull() | further | unread, F.col("value")).alias(RESCUED)
+    rescued = F.when(keys.isNull() | unknown | unread, F.col("value")).alias(RESCUED)
     return lines.select("value", rate).select("rate.*", rescued)
 
 
