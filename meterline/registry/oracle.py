@@ -212,6 +212,65 @@ def _all(part: str, columns: str = "*") -> str:
     return _sql(f"SELECT {columns} FROM {part}", part)
 
 
+# What the selection of the queries chooses in each facet.
+_CHOSEN = {
+    "tenant_name": "tenant_name IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')",
+    "year": "year IS NOT NULL",
+    "month": "month IN (1, 2, 3, 12)",
+    "region": "region IN ('ASIA', 'EUROPE', 'AFRICA')",
+    "usage_type": "usage_type IS NOT NULL",
+}
+
+
+def _facet_counts() -> str:
+    """Per facet value: is it chosen, rows chosen by the other facets, rows chosen by all."""
+    parts = []
+    for name, rule in _CHOSEN.items():
+        others = " AND ".join(f"coalesce({r}, FALSE)" for n, r in _CHOSEN.items() if n != name)
+        parts.append(
+            f"""SELECT '{name}' AS facet, CAST({name} AS VARCHAR) AS value, {rule} AS is_chosen,
+            count(*) FILTER ({others}) AS n_open, count(*) FILTER ({others} AND {rule}) AS n_rows
+            FROM gold WHERE {name} IS NOT NULL GROUP BY {name}"""
+        )
+    return _sql(" UNION ALL ".join(parts), "gold")
+
+
+# The published 32-bit hash of the words, modulo the number of entries, spelled out in arithmetic on unsigned numbers.
+_MIX = "(({x} * 3432918353::UBIGINT) % 4294967296)"
+_TURN = "((({x} << {n}) & 4294967295) | ({x} >> {back}))"
+
+
+def _mixed(x: str) -> str:
+    turned = _TURN.format(x=_MIX.format(x=x), n=15, back=17)
+    return f"(({turned} * 461845907::UBIGINT) % 4294967296)"
+
+
+_BYTE = "('0x' || substr(digits, {at} * 2 + 1, 2))::UBIGINT"
+_FOUR = " | ".join(f"({_BYTE.format(at=f'(block * 4 + {i})')} << {8 * i})" for i in range(4))
+_TAIL = " | ".join(
+    f"(CASE WHEN size % 4 > {i} THEN {_BYTE.format(at=f'(size - size % 4 + {i})')} << {8 * i} ELSE 0::UBIGINT END)" for i in range(3)
+)
+_EMBEDDED_WORDS = rf"""WITH RECURSIVE listed AS (
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')) AS word FROM documents
+), words AS (SELECT doc_id, word, count(*) AS n FROM listed GROUP BY ALL),
+spelled AS (
+    SELECT word, hex(encode(word)) AS digits, (length(hex(encode(word))) // 2)::BIGINT AS size
+    FROM (SELECT DISTINCT word FROM words)
+), steps(word, digits, size, block, h) AS (
+    SELECT word, digits, size, 0::BIGINT, 42::UBIGINT FROM spelled
+    UNION ALL
+    SELECT word, digits, size, block + 1,
+        ({_TURN.format(x="mixed", n=13, back=19)} * 5 + 3864292196::UBIGINT) % 4294967296
+    FROM (SELECT *, xor(h, {_mixed("four")}) AS mixed FROM (SELECT *, {_FOUR} AS four FROM steps WHERE block < size // 4))
+), ends AS (
+    SELECT word, xor(CASE WHEN size % 4 > 0 THEN xor(h, {_mixed("tail")}) ELSE h END, size::UBIGINT) AS h
+    FROM (SELECT *, {_TAIL} AS tail FROM steps WHERE block = size // 4)
+), first AS (SELECT word, (xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296 AS h FROM ends),
+second AS (SELECT word, (xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296 AS h FROM first),
+hashed AS (SELECT word, (xor(h, h >> 16) % 256)::INTEGER AS entry FROM second)
+SELECT doc_id, entry, sum(n)::BIGINT AS n_words FROM words JOIN hashed USING (word) GROUP BY doc_id, entry"""
+
+
 def _violations(part: str, rules: dict[str, str], action: str | None) -> str:
     shown = f"'{action}' AS action, " if action else ""
     rows = [
@@ -348,6 +407,17 @@ ORACLE_SQL: dict[str, str] = {
         ),
         "gold",
     ),
+    "daily_record_sets": _sql(
+        f"""SELECT CAST(usage_date AS DATE) AS usage_date, {_KEYS}, count(DISTINCT record_id // 10) AS n_records
+        FROM bronze GROUP BY ALL""",
+        "bronze",
+    ),
+    "distinct_records": _sql(
+        """SELECT tenant_name, region, count(DISTINCT record_id // 10) AS n_records FROM bronze GROUP BY ALL""", "bronze"
+    ),
+    "clustered_gold": _all("selected"),
+    "facet_counts": _facet_counts(),
+    "embedded_words": _EMBEDDED_WORDS,
     "total_cost": _all("selected", "coalesce(sum(est_cost_usd), 0.0::DOUBLE) AS total_cost"),
     "recent_cost": _sql(f"SELECT {_latest('selected')} AS recent_cost", "selected"),
     "last_row": _sql(

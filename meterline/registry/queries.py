@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterline import settings as names
 from meterline import sinks
 from meterline.functions import models, responses, text
-from meterline.operators import billing, facets, fx, hits, measures, usage
+from meterline.operators import billing, clustered, facet_index, facets, fx, hits, measures, record_sets, usage
 from meterline.operators.constraints import violations
 from meterline.operators.vector_index import build_index, search_index
 from meterline.operators.vectors import vector_top_k
@@ -119,6 +119,36 @@ def silver_violations(spark, sf_dir):
     return violations(daily_usage_unchecked(spark, sf_dir), usage.DAILY_CONSTRAINTS)
 
 
+def _order_records(spark, sf_dir) -> DataFrame:
+    """Checked records under their order's number, which comes back on several days."""
+    records = usage.normalise_date(medallion.bronze(inputs.usage(spark, sf_dir), inputs.TENANTS))
+    return records.withColumn("record_id", F.floor(F.col("record_id") / 10))
+
+
+@query
+def daily_record_sets(spark, sf_dir):
+    """Distinct records per day and usage key, counted from their containers."""
+    records = _order_records(spark, sf_dir)
+    days = record_sets.record_sets(records, record_sets.number_records(records))
+    return record_sets.count_records(days, ("usage_date", *usage.USAGE_KEYS))
+
+
+@query
+def distinct_records(spark, sf_dir):
+    """Distinct records per tenant and region of all time, from the days' containers merged to months.
+
+    The records of the seventeenth days come late: they are numbered after the others, and their containers are added.
+    """
+    records = _order_records(spark, sf_dir)
+    is_late = F.coalesce(F.dayofmonth("usage_date") == 17, F.lit(False))
+    first, late = records.filter(~is_late), records.filter(is_late)
+    known = record_sets.number_records(first)
+    every = record_sets.number_records(late, known)
+    days = record_sets.record_sets(first, known).unionByName(record_sets.record_sets(late, every))
+    months = record_sets.merge_record_sets(billing.year_month(days), ("year", "month", "tenant_name", "region"))
+    return record_sets.count_records(months, ("tenant_name", "region"))
+
+
 # Monthly totals and their price.
 
 
@@ -186,6 +216,20 @@ def cast_period(spark, sf_dir):
     return facets.cast_period(as_text)
 
 
+@query
+def clustered_gold(spark, sf_dir):
+    """Chosen rows of the monthly table stored along a curve over tenant, region and usage type."""
+    stored = clustered.write_clustered(inputs.gold(spark, sf_dir), scratch_dir(spark, "clustered-gold"))
+    return facets.facet_filter(facets.cast_period(stored), SELECTED)
+
+
+@query
+def facet_counts(spark, sf_dir):
+    """Rows of every facet value under the selection, from the bitmaps of an index."""
+    index = facet_index.build_facet_index(facets.cast_period(inputs.gold(spark, sf_dir)))
+    return facet_index.facet_counts(index, SELECTED)
+
+
 @query
 def preview(spark, sf_dir):
     """First rows, in full key order so that they are the same every time."""
@@ -653,6 +697,17 @@ def embed_texts(spark, sf_dir):
     )
 
 
+@query
+def embedded_words(spark, sf_dir):
+    """Words in each entry of the hashed vectors: a unit vector times its words, divided by the sum of its entries."""
+    embedded = models.embed_texts(inputs.table(spark, sf_dir, "documents"), "text")
+    n_words = F.regexp_count(F.lower("text"), F.lit(r"(?U)\w+"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double"))
+    entries = embedded.select("doc_id", n_words.alias("n"), total.alias("total"), F.posexplode("embedding").alias("entry", "value"))
+    counted = F.round(F.col("value").cast("double") * F.col("n") / F.col("total")).cast("long")
+    return entries.filter("value > 0").select("doc_id", "entry", counted.alias("n_words"))
+
+
 def _counting_chat():
     """A stand-in for a chat service: answers with the lengths of what it was sent."""
 
