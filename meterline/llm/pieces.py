@@ -15,6 +15,7 @@ the model does not tell from a blank.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -42,6 +43,9 @@ KNOWN_UNITS = 250_000
 #: Bytes of new units in one suffix array.
 INDEX_BYTES = 1 << 19
 _SEEN_SLOTS = 1 << 20
+#: Edges of one depth below which they are relaxed one by one, and how many of them are held as numbers at a time.
+FEW_EDGES, EDGE_SLAB = 48, 1 << 17
+_NONE = np.iinfo(np.int32).min
 _U = np.uint64
 
 
@@ -98,6 +102,9 @@ class Matcher:
         self.search_mask = np.where(spare == 8, _U(0), ~_U(0) << (spare * _U(8) % _U(64)))
         self.seen_key = np.full(_SEEN_SLOTS, -1, np.int64)
         self.seen_valid = np.zeros(_SEEN_SLOTS, bool)
+        self.join_of = dict(zip(self.join_key.tolist(), self.join_rank.tolist(), strict=True))
+        self.lists = self.left.tolist(), self.right.tolist(), self.rank.tolist()
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -152,6 +159,22 @@ class Matcher:
             busy = busy[~closes & ~(leaf_x & leaf_y)]
         return valid
 
+    def _opens(self, a: int, b: int) -> bool:
+        """``_open`` for one pair."""
+        (left, right, rank), join, n = self.lists, self.join_of.get, len(self.rank)
+        limit = math.inf
+        while True:
+            joined = join(a * n + b)
+            if joined is not None and joined < limit:
+                return False
+            inner_a, inner_b = right[a], left[b]
+            if inner_a != a and (inner_b == b or rank[a] > rank[b]):
+                limit, a = rank[a], inner_a
+            elif inner_b != b:
+                limit, b = rank[b] + 1, inner_b
+            else:
+                return True
+
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``_open`` with an answer remembered for each pair; a negative piece never merges."""
         key = a.astype(np.int64) * len(self.rank) + b
@@ -256,23 +279,48 @@ class Matcher:
         order = np.argsort(depth, kind="stable")
         source, target, piece = source[order], target[order], piece[order]
         cut = np.searchsorted(depth[order], np.arange(depth.max(initial=-1) + 2))
-        none = np.iinfo(np.int32).min
-        ending = np.full(len(data) + 1, none, np.int32)
+        ending = np.full(len(data) + 1, _NONE, np.int32)
         at_start = np.zeros(len(data) + 1, bool)
         at_start[starts] = True
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
+        # Few units go deep; beyond the last depth with many edges these are relaxed one by one.
+        deep = int(np.flatnonzero(np.diff(cut) > FEW_EDGES).max(initial=0)) + 1
+        for a, b in zip(cut[:deep], cut[1 : deep + 1], strict=False):
             s, t, p = source[a:b], target[a:b], piece[a:b]
             ok = at_start[s].copy()
             rest = np.flatnonzero(~ok)
-            rest = rest[ending[s[rest]] != none]
+            rest = rest[ending[s[rest]] != _NONE]
             ok[rest] = self.may_follow(ending[s[rest]], p[rest])
             ending[t[ok]] = p[ok]
+        for a in range(cut[min(deep, len(cut) - 1)], len(source), EDGE_SLAB):
+            b = a + EDGE_SLAB
+            self._relax(source[a:b], target[a:b], piece[a:b], ending)
         return self._walk_back(data, starts, ends, ending)
 
+    def _relax(self, source: np.ndarray, target: np.ndarray, piece: np.ndarray, ending: np.ndarray) -> None:
+        """Relax edges in their order, one after another; none of them begins a unit."""
+        n, pairs = len(self.rank), self.pairs
+        if len(pairs) > _SEEN_SLOTS:
+            pairs.clear()
+        begins = np.unique(source)
+        held = dict(zip(begins.tolist(), ending[begins].tolist(), strict=True))
+        for s, t, p in zip(source.tolist(), target.tolist(), piece.tolist(), strict=True):
+            before = held[s]
+            if before == _NONE:
+                continue
+            if before >= 0 and p >= 0:
+                key = before * n + p
+                follows = pairs.get(key)
+                if follows is None:
+                    follows = pairs[key] = self._opens(before, p)
+                if not follows:
+                    continue
+            held[t] = p
+        ending[np.fromiter(held.keys(), np.int64, len(held))] = np.fromiter(held.values(), np.int32, len(held))
+
     def _walk_back(self, data, starts, ends, ending) -> tuple[np.ndarray, np.ndarray]:
         at, unit = ends.copy(), np.arange(len(starts))
         found, owner = [], []
-        while len(unit):
+        while len(unit) > FEW_EDGES:
             piece = ending[at]
             found.append(piece)
             owner.append(unit)
@@ -282,6 +330,17 @@ class Matcher:
             at = at - step
             busy = at > starts[unit]
             at, unit = at[busy], unit[busy]
+        for end, one in zip(at.tolist(), unit.tolist(), strict=True):  # few are left: one by one
+            low, first, taken = end + 1, int(starts[one]), []
+            while end > first:
+                if end < low:
+                    low = max(first, end - EDGE_SLAB)
+                    here = ending[low : end + 1].tolist()
+                piece = here[end - low]
+                taken.append(piece)
+                end = end - int(self.length[piece]) if piece >= 0 else -1 - piece
+            found.append(np.array(taken, np.int32))
+            owner.append(np.full(len(taken), one))
         piece, unit = np.concatenate(found)[::-1], np.concatenate(owner)[::-1]
         order = np.argsort(unit, kind="stable")
         piece, unit = piece[order], unit[order]
