@@ -46,9 +46,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 
-#: Names after which a value is a credential, and what may stand between; group 1 is a quote after the name, 2 the `` is `` form.
+#: Names after which a value is a credential, also after a prefix such as ``db_``, and what may stand between; group 1 is a quote after the name, 2 the `` is `` form.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:[A-Za-z0-9]+_)?(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|credentials?|auth|bearer"""
+    r"""(?<![A-Za-z])(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|credentials?|auth|bearer"""
     r"""|(?:api|access|private|client|secret)[_-]?key)(["'])?"""
     r"""(?:[\x20\t]*(?::=|=>|={1,3}|:)[\x20\t]*|([\x20\t]+is[\x20\t]+)|(?<=bearer)[\x20\t]+)"""
     r"""(?:(?:bearer|basic)[\x20\t]+)?(?=\S)""",
