@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name, or name_1, name_2 and so on if a column is called so, whatever its case."""
+    low, number, free = {column.lower() for column in taken}, 0, name
+    while free.lower() in low:
+        number += 1
+        free = f"{name}_{number}"
+    return free
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than blank, tab to carriage return; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

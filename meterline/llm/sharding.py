@@ -8,7 +8,8 @@ whose size is a parameter; it is broadcast, and a row finds its shard by its key
 
 Defined results: a null key is placed by ``spread`` (such as the text), so that rows without a
 key do not meet in one shard; equal keys share a shard; an empty table gives no rows; columns
-named ``slot`` and ``shard`` of the rows are kept under other names by the caller.
+``slot`` and ``shard`` of the rows stay, and the results are then called ``slot_1`` and ``shard_1``,
+or by the next free number.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.common import table
+from meterline.llm.common import free_name, table
 
 SHARDS = 32
 #: A prime, above a hundred times the number of shards.
@@ -60,11 +61,13 @@ def _table(spark: SparkSession, shards: Sequence[str], size: int) -> DataFrame:
 
 
 def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, spread: str | None = None) -> DataFrame:
-    """The rows with their ``slot`` and ``shard`` number; neither shuffled nor sorted."""
+    """The rows with their ``slot`` and ``shard`` number as the last columns; neither shuffled nor sorted."""
     spread_by = F.col(f"`{spread}`") if spread else None
-    slots = _table(rows.sparkSession, shards, size).withColumn("slot", F.col("slot").cast("long"))
-    placed = rows.withColumn("slot", slot_of(F.col(f"`{key}`"), size, spread_by))
-    return placed.join(F.broadcast(slots), "slot")  # as many rows as the table's size
+    slot, shard = free_name(rows.columns, "slot"), free_name(rows.columns, "shard")
+    slots = _table(rows.sparkSession, shards, size).select(F.col("slot").cast("long").alias(slot), F.col("shard").alias(shard))
+    placed = rows.withColumn(slot, slot_of(F.col(f"`{key}`"), size, spread_by))
+    joined = placed.join(F.broadcast(slots), slot)  # as many rows as the table's size
+    return joined.select(*[f"`{name}`" for name in (*rows.columns, slot, shard)])
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

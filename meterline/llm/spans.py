@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterline.llm.common import free_name
+
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two hashes, 128 bits together, of a row's id and text; equal rows have equal keys."""
@@ -56,8 +58,9 @@ def _cut(whole_copies: int):
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, whole_copies: int = 0) -> DataFrame:
-    """The rows with a struct ``cut``: the text without its spans, its digest, and counts.
+    """The rows with a struct ``cut`` as the last column: the text without its spans, its digest, and counts.
 
+    It is called ``cut_1``, or with the next free number, if the rows have a column ``cut``, which stays as it is.
     ``spans`` has (row_1, start, end) in bytes and possibly row_2; they are gathered by document.
     Equal rows share one key and report the same spans; each span is held once, from the tasks' partial lists on,
     so that a document's own length bounds the list however many rows equal it. With ``whole_copies`` the second and later of equal rows lose their whole text if it has
@@ -77,4 +80,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, who
     joined = joined.withColumn("copy", copy)
     cut = F.arrow_udf(_cut(whole_copies), _STRUCT).asNondeterministic()
     done = joined.select("row", cut(F.col(f"row.`{text}`"), "spans", "copy").alias("cut"))
-    return done.select("row.*", "cut")
+    return done.select("row.*", F.col("cut").alias(free_name(docs.columns, "cut")))

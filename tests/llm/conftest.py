@@ -33,7 +33,8 @@ def docs(spark):
     """Nulls, empty and long texts, repeated rows and ids, and columns whose names the operators use."""
     schema = "doc_id long, text string, source string, size string"
     df = spark.createDataFrame(ROWS, schema)
-    return df.selectExpr("*", "1 AS row", "2 AS block", "3 AS verdict", "4 AS cut", "'k' AS node", "5 AS at").repartition(3)
+    helpers = ("row", "block", "verdict", "cut", "at", "slot", "SHARD", "spans", "copy", "row_1", "start", "anchor", "key")
+    return df.selectExpr("*", "'k' AS node", *[f"{i} AS {name}" for i, name in enumerate(helpers, 1)]).repartition(3)
 
 
 @pytest.fixture(scope="session")

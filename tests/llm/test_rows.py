@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,9 +263,46 @@ def test_lookup_table_is_even_and_moves_little():
 
 def test_sharding(spark, docs, no_docs):
     placed = sharding.place(docs, "doc_id", ["a", "b", "c"], 31, spread="text")
-    assert placed.count() == len(ROWS) and {"slot", "shard", "row", "block"} <= set(placed.columns)
-    assert placed.filter("doc_id = 3").select("shard").distinct().count() == 1
+    assert placed.count() == len(ROWS) and placed.columns == [*docs.columns, "slot_1", "shard_1"]
+    assert {(r.slot, r.SHARD) for r in placed.collect()} == {(6, 7)}
+    assert placed.filter("doc_id = 3").select("shard_1").distinct().count() == 1
     assert sharding.place(no_docs, "doc_id", ["a"], 31).count() == 0
     assert differences(sharding.op8_sharding(spark, SF_DIR), connect(SF_DIR), sharding.OP8_SQL) == []
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_names_after_long_runs_take_linear_time():
+    """A prefix of the name is no part of the search: a run of letters and digits is passed once."""
+    seconds = {}
+    for n in (1 << 18, 1 << 20):
+        run = "z1" * (n // 2)
+        texts = [f"pwd={run}", f"the key is here {run}", f"{run}_pwd: Zq9!vW#2;Lm8@tR", f"token {run}_"]
+        at = time.process_time()
+        found = [secrets.all_spans(text) for text in texts]
+        seconds[n] = time.process_time() - at
+        assert [len(spans) for spans in found] == [1, 0, 1, 0]
+        assert texts[2][found[2][0][0] : found[2][0][2]] == "Zq9!vW#2;Lm8@tR"
+    assert seconds[1 << 20] < 8 * seconds[1 << 18] + 1
+
+
+def test_prefixes_of_names_do_not_matter():
+    for name in ("pwd", "db_pwd", "x9_pwd", "_pwd", "a_b_pwd", "9pwd", "secret_key", "my_secret_key"):
+        assert [s[1] for s in secrets.all_spans(f"{name}: Zq9!vW#2;Lm8@tR")] == [3]
+    assert secrets.all_spans("subpwd: Zq9!vW#2;Lm8@tR") == []
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "ABCDefgh0123+/", "漢字仮名交文書体東京", "a", "é😀☃ab\u0301"])
+def test_long_texts_without_blanks(letters):
+    """One unit of 100,000 characters and short ones beside it, equal to the library's ids."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(letters, k=k)) for k in (100_000, 7, 0, 3000)] + ["some words and " + letters * 900]
+    at = time.process_time()
+    ids, counts = pieces.Matcher(pieces.Vocabulary.load()).encode(texts[:1])
+    assert ids.tolist() == library.encode(texts[0]) and counts.tolist() == [len(ids)]
+    assert time.process_time() - at < 20
+    ids, counts = pieces.Matcher(pieces.Vocabulary.load()).encode(texts)
+    assert ids.tolist() == [i for text in texts for i in library.encode(text)]
