@@ -17,7 +17,7 @@ windows that are alone in their part are compared with the other parts by 128-bi
 
 Defined results: null is empty; texts shorter than the window keep all bytes; matches never
 cross texts; copies lose all bytes, the first one too; repeated rows are copies of each other.
-Segments are told apart by two 64-bit hashes, rows by one of id and text.
+Segments and rows are told apart by two 64-bit hashes each, rows by those of id and text.
 """
 
 from __future__ import annotations
@@ -246,16 +246,16 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     return text, anchor, span_hashes(data, start, end), start - bounds[text], end - start, twice
 
 
-SEGMENT = "anchor bigint, digest bigint, size int, row_1 bigint, start int, twice boolean"
+SEGMENT = "anchor bigint, digest bigint, size int, row_1 bigint, row_2 bigint, start int, twice boolean"
 
 
 def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for at, data, bounds in text_slices(batch.column(1)):
+            row_1, row_2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, data, bounds in text_slices(batch.column(2)):
                 text, anchor, digest, start, size, twice = segments(data, bounds, length, gram)
-                columns = [anchor.view(np.int64), digest.view(np.int64), size.astype(np.int32), rows[at + text]]
+                columns = [anchor.view(np.int64), digest.view(np.int64), size.astype(np.int32), row_1[at + text], row_2[at + text]]
                 columns = [pa.array(c) for c in (*columns, start.astype(np.int32), twice)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEGMENT.split(", ")])
 
@@ -265,17 +265,16 @@ def _segments(length: int, gram: int):
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of each text."""
     for batch in batches:
-        rows = batch.column(0).to_pylist()
         out = []
-        for row, text, wanted in zip(rows, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for row_1, row_2, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            out += [(w["anchor"], w["part"], w["parts"], row, w["start"], raw[w["start"] : w["start"] + w["size"]]) for w in wanted]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            out += [(w["anchor"], w["part"], w["parts"], row_1, row_2, w["start"], raw[w["start"] : w["start"] + w["size"]]) for w in wanted]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(columns, ["anchor", "part", "parts", "row_1", "start", "bytes"])
+        yield pa.RecordBatch.from_arrays(columns, ["anchor", "part", "parts", "row_1", "row_2", "start", "bytes"])
 
 
-FOUND = "row_1 bigint, start int, end int, key_1 bigint, key_2 bigint"
+FOUND = "row_1 bigint, row_2 bigint, start int, end int, key_1 bigint, key_2 bigint"
 
 
 def _sort_shards(length: int):
@@ -283,7 +282,7 @@ def _sort_shards(length: int):
     a shard in several parts, one for each kind that the part holds."""
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
@@ -303,7 +302,7 @@ def _sort_shards(length: int):
             for a, b in zip(new.tolist(), last.tolist(), strict=True):
                 row, start, _, _ = rows[of[a]]
                 offset = start - int(begin[of[a]])
-                found.append((row, int(hit[a]) + offset, int(hit[b]) + offset + length, None, None))
+                found.append((*row, int(hit[a]) + offset, int(hit[b]) + offset + length, None, None))
         split = np.array([r[3] for r in rows])[number] & opens
         if split.any():
             array = np.frombuffer(data, np.uint8)
@@ -311,19 +310,19 @@ def _sort_shards(length: int):
             two = span_hashes(array ^ np.uint8(0x5A), window[split], window[split] + length)
             for w, k, x, y in zip(window[split].tolist(), number[split].tolist(), one.view(np.int64).tolist(), mix(two).view(np.int64).tolist(), strict=True):
                 start = rows[k][1] + w - int(begin[k])
-                found.append((rows[k][0], start, start + length, x, y))
+                found.append((*rows[k][0], start, start + length, x, y))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
         for batch in batches:
             found = []
-            for anchor, part, parts, row, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, part, parts, row_1, row_2, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (anchor, part) != key and (size >= BATCH_BYTES or parts > 1 or (held and held[-1][3])):
                     found += sort(held) if held else []
                     held, size = [], 0
                 key = (anchor, part)
-                held.append((row, start, raw, parts > 1))
+                held.append(((row_1, row_2), start, raw, parts > 1))
                 size += len(raw)
             yield batch_of(found)
         if held:
@@ -333,12 +332,12 @@ def _sort_shards(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_1, start, end) in bytes: spans all of whose windows of ``length`` bytes occur elsewhere."""
+    """(row_1, row_2, start, end) in bytes: spans all of whose windows of ``length`` bytes occur elsewhere."""
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    rows = docs.select(row_key(ids, texts)[0], texts.alias("text")).filter(F.octet_length("text") >= length)
+    rows = docs.select(*row_key(ids, texts), texts.alias("text")).filter(F.octet_length("text") >= length)
     cut = rows.mapInArrow(_segments(length, gram), SEGMENT)
     content = ("anchor", "digest", "size")
-    kinds = cut.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("row_1", "start")).alias("first"), F.max("twice").alias("twice"))
+    kinds = cut.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("row_1", "row_2", "start")).alias("first"), F.max("twice").alias("twice"))
     shard = Window.partitionBy("anchor")
     kinds = kinds.select(
         *content, "n", "first", "twice",
@@ -347,27 +346,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     )
     kinds = stored(kinds.filter("n > 1 or members > 1 or twice"), "segment-kinds")
     again = kinds.filter("n > 1").select(*content)
-    whole = cut.join(again.hint("merge"), list(content)).select("row_1", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = cut.join(again.hint("merge"), list(content)).select("row_1", "row_2", "start", (F.col("start") + F.col("size")).alias("end"))
 
     parts = F.ceil(F.col("bytes") / SHARD_BYTES).cast("int")
     wanted = kinds.filter("members > 1 or twice").select(
-        F.col("first.row_1").alias("row_1"),
+        F.col("first.row_1").alias("row_1"), F.col("first.row_2").alias("row_2"),
         F.struct(
             "anchor", parts.alias("parts"), F.pmod("digest", parts).cast("int").alias("part"),
             F.col("first.start").alias("start"), "size",
         ).alias("wanted"),
     )
-    wanted = wanted.groupBy("row_1").agg(F.collect_list("wanted").alias("wanted"))  # as many as a text has segments
+    wanted = wanted.groupBy("row_1", "row_2").agg(F.collect_list("wanted").alias("wanted"))  # as many as a text has segments
     # Equal rows have equal keys; one of them gives the bytes.
-    one = rows.join(wanted.hint("merge"), "row_1").dropDuplicates(["row_1"]).select("row_1", "text", "wanted")
-    slices = one.mapInArrow(_slices, "anchor bigint, part int, parts int, row_1 bigint, start int, bytes binary")
+    row = ["row_1", "row_2"]
+    one = rows.join(wanted.hint("merge"), row).dropDuplicates(row).select(*row, "text", "wanted")
+    slices = one.mapInArrow(_slices, "anchor bigint, part int, parts int, row_1 bigint, row_2 bigint, start int, bytes binary")
     key = ("anchor", "part")
     found = slices.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sort_shards(length), FOUND)
     found = stored(found, "segment-repeats")
     split = found.filter("key_1 is not null")
     several = split.groupBy("key_1", "key_2").agg(F.count("*").alias("n")).filter("n > 1")
-    across = split.join(several, ["key_1", "key_2"]).select("row_1", "start", "end")
-    return whole.union(found.filter("key_1 is null").select("row_1", "start", "end")).union(across)
+    across = split.join(several, ["key_1", "key_2"]).select(*row, "start", "end")
+    return whole.union(found.filter("key_1 is null").select(*row, "start", "end")).union(across)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
