@@ -231,8 +231,10 @@ def near_vectors(
     read = stored(read.select("*", key(1), key(2)), "vectors")
     # One row for each label and vector, however many copies there are.
     distinct = read.filter("embedding is not null").groupBy("label", "key_1", "key_2", "embedding")
-    distinct = stored(distinct.agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vectors-distinct")
-    numbered = distinct.select(F.col("key_1").alias("vector_id"), "label", "copies", "embedding")
+    distinct = distinct.agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    # A number of its own tells a vector from all others; the two keys only lead the rows back to it.
+    distinct = stored(distinct.withColumn("vector_id", F.monotonically_increasing_id()), "vectors-distinct")
+    numbered = distinct.select("vector_id", "label", "copies", "embedding")
     kind = numbered.schema["label"].dataType.simpleString()
     schema = f"label {kind}, dimension int, tab int, bucket int, vector_id bigint, copies bigint, embedding array<{element}>"
     spread = numbered.mapInArrow(_spread, schema)
@@ -248,19 +250,19 @@ def near_vectors(
     spread = placed.select(*cell, "vector_id", "copies", "embedding", "side", "blocks")
     spread = spread.repartition(*cell).sortWithinPartitions(*cell)
     found = stored(spread.mapInArrow(_links(cosine), FOUND), "vector-links")
-    degree = found.filter("links is not null").groupBy(F.col("a").alias("key_1")).agg(F.sum("links").alias("links"))
+    degree = found.filter("links is not null").groupBy(F.col("a").alias("vector_id")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b is not null").select("a", "b"))
     groups = (
-        distinct.select("key_1", "copies", "least")
-        .join(joined.withColumnRenamed("node", "key_1"), "key_1", "left")
-        .withColumn("component", F.coalesce("component", "key_1"))
+        distinct.select("vector_id", "key_1", "key_2", "copies", "least")
+        .join(joined.withColumnRenamed("node", "vector_id"), "vector_id", "left")
+        .withColumn("component", F.coalesce("component", "vector_id"))
     )
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = groups.join(least, "component").join(degree, "key_1", "left").select(
-        "key_1", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    groups = groups.join(least, "component").join(degree, "vector_id", "left").select(
+        "key_1", "key_2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     alone = F.col("embedding").isNull()
-    result = read.join(groups, "key_1", "left").select(
+    result = read.join(groups, ["key_1", "key_2"], "left").select(
         "vec_id",
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
