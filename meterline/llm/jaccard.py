@@ -1,19 +1,20 @@
 """N-gram Jaccard join: a sparse product of the matrix of documents by n-grams, in blocks.
 
-Two sets A and B whose similarity reaches t percent differ in at most (|A| + |B|)(100 - t) /
-(100 + t) n-grams. So if the columns are hashed into one block more than that, the rows agree
-on a whole block. Sizes are cut into levels, of which a linked pair is in the same or in
-neighbouring ones, and each row writes a digest for each of its blocks, for the level that it
-shares with larger and the one that it shares with smaller sets. Rows with an equal digest
-fall into one cluster; nothing else can be linked. A block that is empty in both rows says
-nothing, so there are as many more blocks as rows of that size have empty ones; rows with still
-more are matched among themselves by blocks of another hash.
+Of a set of s n-grams, a set linked with it lacks at most d(s) = floor(s (100 - t) / 100). So if
+each set gives its first l(s) = min(s, 2 d(s) + 1) columns in any one order of all columns, two
+linked sets share l - d of these, for the size of the one whose columns end first. A second
+order of the given columns then leaves l(s) + 1 less l - d at the least size that may be linked,
+ceil(t s / 100), and linked sets still share one of them. The first order is by the size of
+counters, of a fixed number, that columns are hashed to and that are summed over all documents:
+what very many documents share comes last and brings no rows to one task. The second is by the
+exact number of sets that give the column; columns of one set need not be looked at again. Rows
+that still share a column fall into one cluster; nothing else can be linked.
 
 Within a cluster, rows are dealt into blocks of bounded size, and every pair of blocks is
-multiplied over blocks of columns. Overlap counts accumulate; pairs whose sizes or remaining
-columns cannot reach the bound are discarded. A quarter of the columns is multiplied first,
-which takes clusters apart whose rows only share a passage, and then all columns of what is
-left. A product returns the components of its links, not its pairs. Equal sets are one row throughout, so copies cost nothing.
+multiplied over blocks of columns: where a column has few rows, only its products that are not
+zero are added up, otherwise whole panels are multiplied. Overlap counts accumulate; pairs whose
+sizes or remaining columns cannot reach the bound are discarded. A product returns the
+components of its links, not its pairs. Equal sets are one row throughout, so copies cost nothing.
 
 N-grams are compared by 64-bit hashes and sets by 128-bit digests.
 
@@ -24,9 +25,7 @@ equal sets and so linked; a null document id counts as larger than any other.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +47,14 @@ from meterline.llm.components import components
 
 #: Rows and n-grams that one block of a cluster holds at most; a larger row is a block alone.
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 19
-#: One in so many columns is multiplied first; what it cannot rule out is multiplied whole.
-FIRST_COLUMNS = 4
-#: Columns that a product takes at a time.
-BLOCK_COLUMNS = 4096
-#: Digests that a task hands over at a time.
-DIGEST_ROWS = 1 << 17
+#: Columns that a product of panels takes at a time, and products that are added up singly at a time.
+BLOCK_COLUMNS, BLOCK_PRODUCTS = 4096, 1 << 20
+#: A column in one of so many rows or more is multiplied in a panel.
+PANEL_SHARE = 8
+#: Counters of column frequencies, and how many of them are one row of the counts.
+COUNTERS, COUNTERS_IN_ROW = 1 << 20, 1 << 10
+#: Columns that a task counts, or first columns that it hands over, at a time.
+HELD_GRAMS = 1 << 17
 
 _U = np.uint64
 
@@ -76,48 +77,33 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.unique(grams[at[i] : at[i + 1]])
 
 
-class Levels:
-    """Levels of set sizes, and the number of blocks of columns for each, at t percent."""
+def counters(grams: np.ndarray) -> np.ndarray:
+    """The counter of each n-gram."""
+    return ((grams >> _U(24)) % _U(COUNTERS)).astype(np.int64)
 
-    def __init__(self, percent: int):
-        self.percent, self.low = percent, [1]
 
-    def level(self, size: int) -> int:
-        while self.low[-1] <= size:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.low, size, "right")) - 1
+def lacking(size: int, percent: int) -> int:
+    """How many n-grams of a set may be missing from a set linked with it."""
+    return size * (100 - percent) // 100
 
-    @cache  # noqa: B019
-    def blocks(self, level: int) -> tuple[int, int]:
-        """Blocks for pairs of sets of this level and the one below, and how many may be empty."""
-        while len(self.low) <= level + 1:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        most = 2 * (self.low[level + 1] - 1)
-        k = most * (100 - self.percent) // (100 + self.percent) + 1
-        empty = k * (1 - 1 / k) ** self.low[max(level - 1, 0)]
-        spare = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 1e-9 else 0
-        return k + spare, spare
 
+def first_columns(grams: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams that a set gives: those of low counters first, ties by hash."""
+    given = min(len(grams), 2 * lacking(len(grams), percent) + 1)
+    return grams[np.argsort(level[counters(grams)], kind="stable")[:given]]
 
-def digests(grams: np.ndarray, level: int, levels: Levels) -> np.ndarray:
-    """A digest for each block of columns in which the set has n-grams."""
-    k, spare = levels.blocks(level)
-    values, at = _block_sums(grams, k, 0)
-    found = mix(values + mix(at.astype(_U) + _U(level << 32)))
-    if k - len(at) > spare:  # too many empty blocks: matched with other such sets, empty blocks too
-        values, at = _block_sums(grams, k, 1)
-        other = np.zeros(k, _U)
-        other[at] = values
-        found = np.append(found, mix(other + mix(np.arange(k, dtype=_U) + _U((level << 32) + (1 << 31)))))
-    return found
 
+def left_out(size: Column, percent: int) -> Column:
+    """How many of the columns that a set gives, the most frequent ones, need not be looked at."""
+    least = F.ceil(size * percent / F.lit(100))
+    lacks = F.floor(least * (100 - percent) / F.lit(100))
+    return F.least(least, 2 * lacks + 1) - lacks - 1
 
-def _block_sums(grams: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    block = (mix(grams + _U(seed * 2 + 1)) >> _U(33)) % _U(k)
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    return np.add.reduceat(mix(grams[order] ^ _U(0xA5A5A5A5)), first), block[first].astype(np.int64)
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The order of counters: the binary logarithm of their share of all, from four times the mean."""
+    mean = max(counts.sum() / len(counts), 1)
+    return np.log2(np.maximum(counts / (4 * mean), 1)).astype(np.uint8)
 
 
 def _identity(grams: np.ndarray) -> tuple[int, int]:
@@ -125,52 +111,87 @@ def _identity(grams: np.ndarray) -> tuple[int, int]:
     return tuple(mix(np.array([one, two], _U) + _U(len(grams))).view(np.int64).tolist())
 
 
-SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint, nodes array<bigint>"
+SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint"
+COUNTS = "slice int, counts binary"
 
 
-def _nodes(set_1: int, level: int) -> list[int]:
-    """A set as a node of its own level and of the next one."""
-    salt = mix(np.array([level, level + 1], _U)).view(np.int64)
-    return [set_1 ^ int(salt[0]), set_1 ^ int(salt[1])]
+def _sets(n: int):
+    """Size and identity of each row's set, and after them the counts of their columns.
 
+    Equal sets of a batch are counted once. The rows of counts have no other value.
+    """
 
-def _sets(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(percent)
+        total, schema = np.zeros(COUNTERS, np.int64), None
+        names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "slice", "counts"]
         for batch in batches:
-            size, ids, nodes = [], [], []
+            size, ids, seen, held, n_held = [], [], set(), [], 0
             for grams in gram_sets(batch.column(1), n):
                 size.append(len(grams))
                 ids.append(_identity(grams) if len(grams) else (None, None))
-                nodes.append(_nodes(ids[-1][0], levels.level(len(grams))) if len(grams) else None)
+                if len(grams) and ids[-1] not in seen:
+                    seen.add(ids[-1])
+                    held.append(counters(grams))
+                    n_held += len(grams)
+                if n_held > HELD_GRAMS:
+                    np.add.at(total, np.concatenate(held), 1)
+                    held, n_held = [], 0
+            if held:
+                np.add.at(total, np.concatenate(held), 1)
             columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.int64())]
             columns += [pa.array([pair[i] for pair in ids], pa.int64()) for i in (0, 1)]
-            columns.append(pa.array(nodes, pa.list_(pa.int64())))
-            names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "nodes"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns += [pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
+            schema = pa.schema([pa.field(name, c.type) for name, c in zip(names, columns, strict=True)])
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        if total.any():
+            slices = _slices(total)
+            empty = [pa.nulls(slices.num_rows, field.type) for field in schema][:-2]
+            yield pa.RecordBatch.from_arrays([*empty, *slices.columns], schema=schema)
 
     return run
 
 
-def _digests(n: int, percent: int):
-    """The digests that each set writes, once for equal sets of a batch."""
+def _slices(total: np.ndarray) -> pa.RecordBatch:
+    parts = total.reshape(-1, COUNTERS_IN_ROW)
+    some = np.flatnonzero(parts.any(axis=1))
+    columns = [pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "counts"])
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the counts of a task's rows; no more than the counters are held."""
+    total = np.zeros((COUNTERS // COUNTERS_IN_ROW, COUNTERS_IN_ROW), np.int64)
+    for batch in batches:
+        for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[at] += np.frombuffer(counts.as_buffer(), np.int64)
+    if total.any():
+        yield _slices(total)
+
+
+def column_counts(counts: DataFrame) -> np.ndarray:
+    """All counters; the driver gets as many numbers as there are counters, whatever the input."""
+    slices = counts.mapInArrow(_sum_counts, COUNTS).repartition("slice").mapInArrow(_sum_counts, COUNTS)
+    total = np.zeros((COUNTERS // COUNTERS_IN_ROW, COUNTERS_IN_ROW), np.int64)
+    for row in slices.collect():
+        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return total.ravel()
+
+
+def _first_columns(n: int, percent: int, level: np.ndarray):
+    """The columns that each set gives, once for equal sets of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(percent)
         for batch in batches:
-            seen = set()
-            node, found, held = [], [], 0
+            seen, node, found, held = set(), [], [], 0
             for grams in gram_sets(batch.column(0), n):
                 identity = _identity(grams) if len(grams) else None
                 if not identity or identity in seen:
                     continue
                 seen.add(identity)
-                level = levels.level(len(grams))
-                for one, at in zip(_nodes(identity[0], level), (level, level + 1), strict=True):
-                    found.append(digests(grams, at, levels))
-                    node.append(np.full(len(found[-1]), one))
-                    held += len(found[-1])
-                if held > DIGEST_ROWS:
+                found.append(first_columns(grams, level, percent))
+                node.append(np.full(len(found[-1]), identity[0]))
+                held += len(found[-1])
+                if held > HELD_GRAMS:
                     yield _written(node, found)
                     node, found, held = [], [], 0
             if held:
@@ -181,15 +202,15 @@ def _digests(n: int, percent: int):
 
 def _written(node: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(node)), pa.array(np.concatenate(found).view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["node", "digest"])
+    return pa.RecordBatch.from_arrays(columns, ["node", "gram"])
 
 
-def _grams(n: int, share: int):
-    """The n-grams of each set in one of ``share`` columns, once for equal sets of a batch."""
+def _grams(n: int):
+    """The n-grams of each set, once for equal sets of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {_identity(g): g[g % _U(share) == 0] for g in gram_sets(batch.column(0), n) if len(g)}
+            sets = {_identity(g): g for g in gram_sets(batch.column(0), n) if len(g)}
             columns = [pa.array([pair[i] for pair in sets], pa.int64()) for i in (0, 1)]
             columns.append(pa.array([g.view(np.int64) for g in sets.values()], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["set_1", "set_2", "grams"])
@@ -197,33 +218,63 @@ def _grams(n: int, share: int):
     return run
 
 
-def linked(sets: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
-    """The matrix that says which pairs of sets may reach the similarity, as far as is known.
-
-    ``size`` are the sizes of the whole sets; columns that ``sets`` leaves out may all overlap.
-    """
-    held = np.array([len(s) for s in sets], np.int64)
-    total = size[:, None] + size[None, :]
-    needed = -(-percent * total // (100 + percent))
-    alive = np.minimum(size[:, None], size[None, :]) >= needed
-    overlap = np.zeros(total.shape, np.int64)
-    rows = np.repeat(np.arange(len(sets)), held)
-    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    left = size - np.bincount(rows[counts[columns] == 1], minlength=len(sets))  # columns of one row overlap with none
-    rows, columns = rows[counts[columns] > 1], columns[counts[columns] > 1]
-    columns = (np.cumsum(counts > 1) - 1)[columns]
-    n_columns = int(np.count_nonzero(counts > 1))
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    alive &= np.minimum(left[:, None], left[None, :]) >= needed
-    for begin in range(0, n_columns, BLOCK_COLUMNS):
-        lo, hi = np.searchsorted(columns, (begin, begin + BLOCK_COLUMNS))
-        part = np.zeros((len(sets), min(BLOCK_COLUMNS, n_columns - begin)), np.float32)
-        part[rows[lo:hi], columns[lo:hi] - begin] = 1
-        overlap += (part @ part.T).astype(np.int64)
-        left -= np.bincount(rows[lo:hi], minlength=len(sets))
+class Incidence:
+    """The rows of each column that several sets have, columns of few rows first."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        rows = np.repeat(np.arange(self.n), [len(s) for s in sets])
+        _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts[columns] > 1
+        #: For each row, its columns that no other row has.
+        self.alone = np.bincount(rows[~shared], minlength=self.n)
+        at = np.empty(len(counts), np.int64)
+        at[np.argsort(counts, kind="stable")] = np.arange(len(counts)) - np.count_nonzero(counts == 1)
+        order = np.argsort(at[columns[shared]], kind="stable")
+        self.rows = rows[shared][order]
+        self.counts = np.sort(counts[counts > 1])
+        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows with an entry in each block of columns, and the overlaps of all rows in it."""
+        narrow = int(np.searchsorted(self.counts * PANEL_SHARE, self.n))
+        products, begin = np.cumsum(self.counts[:narrow] ** 2), 0
+        while begin < narrow:
+            done = products[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(products, done + BLOCK_PRODUCTS, "right")), begin + 1)
+            yield self._products(begin, end)
+            begin = end
+        for begin in range(narrow, len(self.counts), BLOCK_COLUMNS):
+            yield self._panel(begin, min(begin + BLOCK_COLUMNS, len(self.counts)))
+
+    def _products(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, counts = self.rows[self.starts[begin] : self.starts[end]], self.counts[begin:end]
+        times = np.repeat(counts, counts)  # each entry meets all of its column
+        first = np.repeat(self.starts[begin:end] - self.starts[begin], counts)
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(rows, times) * self.n + rows[np.repeat(first, times) + within]
+        return rows, np.bincount(pairs, minlength=self.n**2).reshape(self.n, self.n)
+
+    def _panel(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.rows[self.starts[begin] : self.starts[end]]
+        panel = np.zeros((self.n, end - begin), np.float32)
+        panel[rows, np.repeat(np.arange(end - begin), self.counts[begin:end])] = 1
+        return rows, (panel @ panel.T).astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix that says which pairs of sets reach the similarity."""
+    size = np.array([len(s) for s in sets], np.int64)
+    needed = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
+    matrix = Incidence(sets)
+    left = size - matrix.alone
+    alive = np.minimum(left[:, None], left[None, :]) >= needed
+    overlap = np.zeros(needed.shape, np.int64)
+    for rows, found in matrix.blocks():
+        overlap += found
+        left -= np.bincount(rows, minlength=len(sets))
         alive &= overlap + np.minimum(left[:, None], left[None, :]) >= needed
-        if np.count_nonzero(alive) == len(sets):  # each only with itself
+        if np.count_nonzero(alive) == np.count_nonzero(alive.diagonal()):  # none but with itself
             break
     np.fill_diagonal(alive, True)
     return alive
@@ -243,30 +294,28 @@ def _roots(links: np.ndarray) -> np.ndarray:
 def _products(percent: int):
     """Links within each cell of rows; the rows of a cell follow one another."""
 
-    def cell(ids: list[tuple[int, int]], sets: list[np.ndarray], size: list[int]) -> list[tuple[int, ...]]:
-        root = _roots(linked(sets, np.array(size, np.int64), percent))
+    def cell(ids: list[tuple[int, int]], sets: list[np.ndarray]) -> list[tuple[int, ...]]:
+        root = _roots(linked(sets, percent))
         return [(*ids[i], *ids[r]) for i, r in enumerate(root) if r != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, size = None, [], [], []
+        key, ids, sets = None, [], []
         for batch in batches:
             found = []
             cells = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             names = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            sizes = batch.column(5).to_pylist()
-            bounds = batch.column(6).offsets.to_numpy()
-            values = batch.column(6).values.to_numpy().view(_U)
+            bounds = batch.column(5).offsets.to_numpy()
+            values = batch.column(5).values.to_numpy().view(_U)
             for i, (at, name) in enumerate(zip(cells, names, strict=True)):
                 if at != key:
                     if len(sets) > 1:
-                        found += cell(ids, sets, size)
-                    key, ids, sets, size = at, [], [], []
+                        found += cell(ids, sets)
+                    key, ids, sets = at, [], []
                 ids.append(name)
-                size.append(sizes[i])
                 sets.append(values[bounds[i] : bounds[i + 1]].copy())
             yield _edges(found)
         if len(sets) > 1:
-            yield _edges(cell(ids, sets, size))
+            yield _edges(cell(ids, sets))
 
     return run
 
@@ -276,22 +325,28 @@ def _edges(found: list[tuple[int, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["a_1", "a_2", "b_1", "b_2"])
 
 
-def _clusters(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, cluster) for sets that agree on a block with another; a set is one node a level."""
-    written = texts.mapInArrow(_digests(n, percent), "node bigint, digest bigint")
-    # The least node so far of those with a digest; the rows of a digest stream by.
-    so_far = "min(node) over (partition by digest order by node rows unbounded preceding)"
-    pairs = written.select(F.col("node").alias("a"), F.expr(so_far).alias("b"))
+def _clusters(texts: DataFrame, sets: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """(node, component) for sets that share one of the columns looked at with another set."""
+    given = texts.mapInArrow(_first_columns(n, percent, levels(counts)), "node bigint, gram bigint")
+    given = given.withColumn("n_sets", F.count("*").over(Window.partitionBy("gram"))).filter("n_sets > 1")
+    skip = sets.select(F.col("set_1").alias("node"), left_out(F.col("n_shingles"), percent).alias("skip"))
+    # Copies of a set in other batches have equal ranks.
+    falling = Window.partitionBy("node").orderBy(F.desc("n_sets"), F.desc("gram"))
+    ranked = given.join(skip.hint("merge"), "node").withColumn("rank", F.dense_rank().over(falling))
+    looked_at = ranked.filter("rank > skip").select("node", "gram")
+    # The least node so far of those with a column; the rows of a column stream by.
+    so_far = "min(node) over (partition by gram order by node rows unbounded preceding)"
+    pairs = looked_at.select(F.col("node").alias("a"), F.expr(so_far).alias("b"))
     return components(pairs.filter("a != b"))
 
 
 GRAMS = "set_1 bigint, set_2 bigint, grams array<bigint>"
 
 
-def _multiplied(members: DataFrame, grams: DataFrame, percent: int, share: int) -> DataFrame:
-    """Edges that span the pairs of each cluster that the given columns do not rule out."""
+def _multiplied(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Edges that span the linked pairs of each cluster."""
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-    by_rows, by_grams = F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / (share * BLOCK_GRAMS))
+    by_rows, by_grams = F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)
     blocks = sizes.select("component", F.greatest(by_rows, by_grams).alias("blocks"))
     placed = members.join(blocks, "component").withColumn("block", F.pmod("set_2", "blocks"))
     # Copies in other batches are dropped; the join needs the same exchange.
@@ -302,7 +357,7 @@ def _multiplied(members: DataFrame, grams: DataFrame, percent: int, share: int)
         "component",
         F.least("block", "other").alias("row"),
         F.greatest("block", "other").alias("column"),
-        "set_1", "set_2", "n_shingles", "grams",
+        "set_1", "set_2", "grams",
     )
     cells = cells.repartition(*key).sortWithinPartitions(*key)
     links = cells.mapInArrow(_products(percent), "a_1 bigint, a_2 bigint, b_1 bigint, b_2 bigint")
@@ -319,30 +374,22 @@ def _grouped(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(ids.alias("doc_id"), texts.alias("text"), *_row_key(ids, texts))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    every = stored(rows.mapInArrow(_sets(n, percent), SETS.format(id=kind)), "gram-sets")
+    written = stored(rows.mapInArrow(_sets(n), f"{SETS.format(id=kind)}, {COUNTS}"), "gram-sets")
+    counts = column_counts(written.filter("slice IS NOT NULL").select("slice", "counts"))
+    every = written.filter("slice IS NULL").drop("slice", "counts")
     found = every.filter("n_shingles > 0")
     # One row for each set, however many copies there are.
     sets = found.groupBy("set_1", "set_2").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.first("n_shingles").alias("n_shingles"),
-        F.first("nodes").alias("nodes"),
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
     )
     sets = stored(sets, "gram-distinct")
-    clusters = stored(_clusters(rows.select("text"), n, percent), "gram-clusters")
-
-    nodes = sets.select("set_1", "set_2", "doc_id", "n_shingles", F.explode("nodes").alias("node"))
-    members = stored(nodes.join(clusters, "node").drop("node").distinct(), "gram-members")
-    # A few columns first: most rows of a cluster only share a passage, which these columns show.
-    share = rows.select("text").mapInArrow(_grams(n, FIRST_COLUMNS), GRAMS)
-    likely = components(_multiplied(members, share, percent, FIRST_COLUMNS))
-    likely = likely.select("node.*", F.xxhash64("component.set_1", "component.set_2").alias("component"))
-    known = sets.select("set_1", "set_2", "doc_id", "n_shingles")
-    members = stored(known.join(likely, ["set_1", "set_2"]), "gram-likely")
+    clusters = stored(_clusters(rows.select("text"), sets, n, percent, counts), "gram-clusters")
+    members = stored(sets.join(clusters, sets.set_1 == clusters.node).drop("node"), "gram-members")
     # Merged at every size, so that the plan on a small table is the plan on a large one.
     wanted = members.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted").hint("merge")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    whole = texts.mapInArrow(_grams(n, 1), GRAMS)
-    joined = components(_multiplied(members, whole, percent, 1))
+    whole = texts.mapInArrow(_grams(n), GRAMS)
+    joined = components(_multiplied(members, whole, percent))
 
     named = sets.select("set_1", "set_2", "doc_id").join(
         joined.select("node.set_1", "node.set_2", "component"), ["set_1", "set_2"], "left"

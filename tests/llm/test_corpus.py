@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,43 @@ def test_ngram_join(spark, n, percent, rows_in_block, monkeypatch):
         assert sum(size_of(r.text) > 0 for r in kept.collect()) == len(groups)
 
 
+def test_linked_pairs_share_a_column_and_products_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        for name, most in (("BLOCK_COLUMNS", 40), ("BLOCK_PRODUCTS", 400), ("PANEL_SHARE", 12)):
+            monkeypatch.setattr(jaccard, name, int(rng.integers(1, most)))
+        m, percent = int(rng.integers(1, 60)), int(rng.choice([60, 80, 90]))
+        sets = [np.unique(rng.integers(0, m + 1, rng.integers(1, m + 5))).astype(np.uint64) for _ in range(20)]
+        sets[:8] = [s[: max(1, len(s) - int(rng.integers(0, 2)))] for s in sets[-8:]]
+        together = lambda a, b: len(np.intersect1d(a, b)) * 100 >= percent * len(np.union1d(a, b))
+        want = np.array([[a is b or together(a, b) for b in sets] for a in sets])
+        assert (jaccard.linked(sets, percent) == want).all()
+
+        level = rng.integers(0, 3, jaccard.COUNTERS).astype(np.uint8)
+        given = [jaccard.first_columns(s, level, percent).tolist() for s in sets]
+        count = collections.Counter(g for columns in given for g in columns)
+        looked_at = []
+        for s, columns in zip(sets, given, strict=True):
+            least = -(-len(s) * percent // 100)
+            lacks = jaccard.lacking(least, percent)
+            skip = min(least, 2 * lacks + 1) - lacks - 1  # as left_out, which the join tests use
+            looked_at.append(set(sorted(columns, key=lambda g: (-count[g], -g))[skip:]))
+        assert all(looked_at[i] & looked_at[j] for i, j in zip(*np.nonzero(want), strict=True))
+
+
+def test_column_counts_are_those_of_all_sets(docs):
+    key = F.lit(0).cast("long")
+    rows = docs.select("doc_id", "text", key.alias("row_1"), key.alias("row_2")).repartition(5)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(jaccard._sets(2), f"{jaccard.SETS.format(id=kind)}, {jaccard.COUNTS}")
+    counts = jaccard.column_counts(found.filter("slice IS NOT NULL").select("slice", "counts"))
+    sets = {s.tobytes(): s for s in jaccard.gram_sets(pa.array([r.text for r in docs.collect()], pa.string()), 2)}
+    once = np.zeros(jaccard.COUNTERS, np.int64)
+    for grams in sets.values():
+        np.add.at(once, jaccard.counters(grams), 1)
+    assert ((counts >= once) & (counts <= len(ROWS) * once)).all() and once.any()
+
+
 def test_ngram_join_of_odd_rows(docs, no_docs):
     found = jaccard.near_duplicates(docs).collect()
     assert len(found) == len(ROWS)
