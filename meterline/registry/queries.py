@@ -703,7 +703,9 @@ def embedded_words(spark, sf_dir):
     embedded = models.embed_texts(inputs.table(spark, sf_dir, "documents"), "text")
     n_words = F.regexp_count(F.lower("text"), F.lit(r"(?U)\w+"))
     total = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double"))
-    entries = embedded.select("doc_id", n_words.alias("n"), total.alias("total"), F.posexplode("embedding").alias("entry", "value"))
+    # Per text, in a select of its own: beside a generator Spark would work these out for every entry again.
+    measured = embedded.select("doc_id", n_words.alias("n"), total.alias("total"), "embedding")
+    entries = measured.select("doc_id", "n", "total", F.posexplode("embedding").alias("entry", "value"))
     counted = F.round(F.col("value").cast("double") * F.col("n") / F.col("total")).cast("long")
     return entries.filter("value > 0").select("doc_id", "entry", counted.alias("n_words"))
 

@@ -213,3 +213,22 @@ def test_hashed_vector_by_content(spark):
     norm = sum(x * x for x in want) ** 0.5
     assert have[0] == pytest.approx([x / norm for x in want], abs=1e-6)
     assert have[1] == [0.0] * 256
+
+
+def test_words_are_counted_once_per_text(spark, tmp_path):
+    """Not once for each entry of its vector, as where the count stands beside the generator."""
+    from meterline.registry.queries import QUERIES
+
+    texts = [(1, "Costs rose; costs of spark fell."), (2, ""), (3, None), (None, "costs costs")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["embedded_words"](spark, str(tmp_path))
+    want = {}
+    for doc_id, text in texts:
+        for word in (text or "").lower().replace(";", "").replace(".", "").split():
+            key = doc_id, _murmur3(word.encode()) % 256
+            want[key] = want.get(key, 0) + 1
+    assert {(r.doc_id, r.entry): r.n_words for r in found.collect()} == want
+    steps = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    generate = next(i for i, step in enumerate(steps) if "Generate" in step)
+    counting = [i for i, step in enumerate(steps) if "regexp_count" in step.lower() or "regexpcount" in step.lower() or "aggregate(" in step]
+    assert counting and min(counting) > generate  # below it in the plan
