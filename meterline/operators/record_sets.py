@@ -51,27 +51,31 @@ def _keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(f"`{key}`") for key in keys]
 
 
-def _contained(single: DataFrame, whole: DataFrame, keys: Sequence[str], max_listed: int) -> DataFrame:
-    """Containers made of distinct ``(keys, bucket, position)`` rows and of bitmaps ``(keys, bucket, bits)``.
+def _contained(single: DataFrame, whole: DataFrame | None, keys: Sequence[str], max_listed: int) -> DataFrame:
+    """Containers made of ``(keys, bucket, position)`` rows, repeated or not, and of bitmaps ``(keys, bucket, bits)``.
 
     A bucket that holds a bitmap, or more than ``max_listed`` positions, becomes a bitmap; no list is longer than that.
+    Positions are gathered once, in one shuffle: a bucket has at most 32,768 of them, however often they are repeated.
     """
     group = [*_keys(keys), F.col("bucket")]
-    sizes = single.groupBy(*group).agg(F.count(F.lit(1)).alias("n_single"), F.lit(False).alias("is_whole"))
-    sizes = sizes.unionByName(whole.groupBy(*group).agg(F.lit(0).alias("n_single"), F.lit(True).alias("is_whole")))
-    heavy = sizes.groupBy(*group).agg(F.sum("n_single").alias("n_single"), F.max("is_whole").alias("is_whole"))
-    heavy = heavy.filter(F.col("is_whole") | (F.col("n_single") > max_listed))
-    same = F.lit(True)
-    for name in (*keys, "bucket"):
-        same = same & F.col(f"s.`{name}`").eqNullSafe(F.col(f"h.`{name}`"))
-    marked = single.alias("s").join(heavy.alias("h"), same, "left").select("s.*", F.col("h.n_single").isNotNull().alias("is_heavy"))
-    marked = stored(marked, "record-positions")
-    made = marked.filter("is_heavy").groupBy(*group).agg(F.bitmap_construct_agg(F.col("position").cast("long")).alias("bits"))
-    bitmaps = made.unionByName(whole.select(*group, "bits")).groupBy(*group).agg(F.bitmap_or_agg("bits").alias("bits"))
-    bitmaps = bitmaps.select(
+    gathered = single.groupBy(*group).agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    gathered = stored(gathered, "record-positions")
+    few = F.size("positions") <= max_listed
+    lists, long = gathered.filter(few), gathered.filter(~few)
+    if whole is not None:  # bitmaps are few, since each holds more positions than a list
+        same = F.lit(True)
+        for name in (*keys, "bucket"):
+            same = same & F.col(f"s.`{name}`").eqNullSafe(F.col(f"w.`{name}`"))
+        known = whole.select(*group).distinct().alias("w")
+        long = long.unionByName(lists.alias("s").join(known, same, "left_semi"))
+        lists = lists.alias("s").join(known, same, "left_anti")
+    ones = long.select(*group, F.explode(F.col("positions").cast("array<long>")).alias("position"))
+    made = ones.groupBy(*group).agg(F.bitmap_construct_agg("position").alias("bits"))
+    if whole is not None:
+        made = made.unionByName(whole.select(*group, "bits")).groupBy(*group).agg(F.bitmap_or_agg("bits").alias("bits"))
+    bitmaps = stored(made, "record-bitmaps").select(
         *group, F.lit(None).cast("array<int>").alias("positions"), "bits", F.bitmap_count("bits").cast("long").alias("n")
     )
-    lists = marked.filter("NOT is_heavy").groupBy(*group).agg(F.sort_array(F.collect_list("position")).alias("positions"))
     lists = lists.select(*group, "positions", F.lit(None).cast("binary").alias("bits"), F.size("positions").cast("long").alias("n"))
     return bitmaps.unionByName(lists)
 
@@ -84,17 +88,16 @@ def record_sets(
     joined = held.join(numbers.select(F.col("record_id").alias("_record"), "record_no"), "_record")
     no = F.col("record_no")
     at = joined.select(*_keys(keys), F.bitmap_bucket_number(no).alias("bucket"), F.bitmap_bit_position(no).cast("int").alias("position"))
-    none = at.filter("false").select(*_keys(keys), "bucket", F.lit(None).cast("binary").alias("bits"))
-    return _contained(at.distinct(), none, keys, max_listed)
+    return _contained(at, None, keys, max_listed)
 
 
 def merge_record_sets(sets: DataFrame, keys: Sequence[str], max_listed: int = MAX_LISTED) -> DataFrame:
     """Containers of coarser keys, which are columns of ``sets`` such as a month made from the day.
 
-    Listed positions are made distinct before they are gathered, so a key with a third of all records is spread over all tasks;
+    Listed positions are gathered by key and bucket, so a key with a third of all records is spread over all tasks;
     a bucket then holds at most ``max_listed`` positions or one bitmap.
     """
-    listed = sets.filter("bits IS NULL").select(*_keys(keys), "bucket", F.explode("positions").alias("position")).distinct()
+    listed = sets.filter("bits IS NULL").select(*_keys(keys), "bucket", F.explode("positions").alias("position"))
     return _contained(listed, sets.filter("bits IS NOT NULL").select(*_keys(keys), "bucket", "bits"), keys, max_listed)
 
 

@@ -82,3 +82,43 @@ def test_numbers_of_a_key_are_close_together(spark):
     frame = spark.createDataFrame(rows, KIND).repartition(8)
     days = sets.record_sets(frame, sets.number_records(frame, order=KEYS), KEYS)
     assert days.count() <= 20 + spark.sparkContext.defaultParallelism * 2
+
+
+@pytest.mark.parametrize("query", ["daily_record_sets", "distinct_records"])
+def test_records_are_made_once(spark, monkeypatch, query):
+    """Numbering and containers share the stored records; the joins behind them run once."""
+    from meterline.registry import inputs
+    from meterline.registry.queries import QUERIES
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(region):
+        made.add(1)
+        return region
+
+    records = [(i * 10 + j, "BUILDING", f"sku{i % 3}", f"2024-0{1 + i % 2}-{16 + j}", 1.0 + j, "kr" if i % 4 else "us") for i in range(40) for j in range(3)]
+    columns = "record_id long, tenant_name string, sku_name string, usage_date string, usage_quantity double, region string"
+    frame = spark.createDataFrame(records, columns).withColumns(
+        {"region": seen("region"), "usage_unit": F.lit("DBU"), "usage_type": F.lit("F"), "node_type": F.lit(None).cast("string")}
+    )
+    monkeypatch.setattr(inputs, "usage", lambda spark, sf_dir: frame)
+    found = QUERIES[query](spark, "").collect()
+    assert made.value == len(records)
+    if query == "distinct_records":
+        assert {(r.region, r.n_records) for r in found} == {("kr", 30), ("us", 10)}
+
+
+def test_positions_are_gathered_in_one_shuffle(spark, monkeypatch):
+    """Not made distinct, counted and listed in three; a repeated position counts once."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(sets, "stored", noted)
+    single = spark.createDataFrame([("a", 0, 5), ("a", 0, 5), (None, 0, 1), ("a", 1, 7)], "tenant string, bucket long, position int")
+    found = sets._contained(single, None, ("tenant",), 10)
+    assert {(r.tenant, r.bucket): r.positions for r in found.collect()} == {("a", 0): [5], (None, 0): [1], ("a", 1): [7]}
+    assert plans[0].count("Exchange hashpartitioning") == 1
