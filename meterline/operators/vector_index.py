@@ -50,8 +50,10 @@ CENTRE_ENTRIES = 4_000_000
 #: Entries of the vectors that centres are fitted on, about.
 SAMPLE_ENTRIES = 64_000_000
 ITERATIONS = 10
-#: Clusters that a question visits in its first round; each round takes this many times as many.
-FIRST, GROWTH = 1, 4
+#: Clusters that a question visits in each round; the last one takes all that may still hold a hit.
+STEPS = (1, 16, None)
+#: Bits of questions and clusters that a task unpacks at a time.
+BLOCK_BITS = 8_000_000
 #: Room for rounding, in radians and in scores.
 SLACK = 1e-7
 #: The cluster of zero vectors, whose score is 0 for every question.
@@ -186,8 +188,10 @@ def search_index(
 ) -> Found:
     """The ``k`` nearest chunks of every question: the rows that ``vector_top_k`` gives on all chunks.
 
-    Each round is stored. A cluster's members meet the questions that visit it in cells of a bounded
-    number of entries on both sides, so neither a large cluster nor a popular one is one task.
+    Each round is stored, and questions that are done take no part in the next. Clusters are gathered to
+    columns, large ones are split, and a question is sent once to each column that it visits, with one bit
+    for each cluster there; it is not sent once for each cluster. Members and questions meet in cells of a
+    bounded number of entries on both sides, so neither a large cluster nor a popular one is one task.
     """
     spark = questions.sparkSession
     chunk_id = index.chunk_id
@@ -202,38 +206,86 @@ def search_index(
     held = index.clusters.filter("n > 0").orderBy("cluster").toArrow()  # as many as centres
     sizes = dict(zip(held.column("cluster").to_pylist(), held.column("n").to_pylist(), strict=True))
     n_asked, n_chunks = asked.count(), sum(sizes.values())
-    state = asked.withColumns({"floor": F.lit(-math.inf), "visited": F.array().cast("array<int>")})
+    longest = max(_size(asked)[1], *(len(c or []) for c in held.column("centre").to_pylist()), 1)
+    runs = _runs(list(sizes.values()), longest, 2 * spark.sparkContext.defaultParallelism)
+    state = asked.withColumns({"floor": F.lit(-math.inf), "visited": F.lit(None).cast("binary")})
     hits = spark.createDataFrame([], schema)
-    step, report = FIRST, []
-    while True:
-        plan = stored(state.mapInArrow(_next_clusters(spark, held, step), _planned(state)), "index-plan")
-        pairs = plan.select(question_id, "vector", "floor", F.explode("next").alias("cluster"))
-        visits = {r.cluster: r["count"] for r in pairs.groupBy("cluster").count().collect()}  # as many as centres
-        if not visits:
+    report = []
+    for step in STEPS:
+        planned = T.StructType([*state.schema.fields, T.StructField("next", T.BinaryType())])
+        plan = stored(state.mapInArrow(_next_clusters(spark, held, step), planned), "index-plan").filter("next IS NOT NULL")
+        visits, asking = _visits(plan, runs, len(sizes))
+        if not any(visits):
             break
-        report.append((len(report) + 1, n_asked, sum(n * sizes[c] for c, n in visits.items()), n_asked * n_chunks))
-        found = _score(index, pairs, visits, sizes, k, schema)
+        report.append((len(report) + 1, n_asked, sum(n * size for n, size in zip(visits, sizes.values(), strict=True)), n_asked * n_chunks))
+        found = _score(index, plan, runs, list(sizes), visits, asking, longest, k, schema)
         order = Window.partitionBy(question_id).orderBy(F.desc("score"), chunk_id)
         ranked = hits.union(found).withColumn("place", F.row_number().over(order))
         hits = stored(ranked.filter(F.col("place") <= k).drop("place"), "index-hits")
+        if step is None:
+            break
         floors = hits.groupBy(question_id).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
         floors = floors.filter(F.col("n") == k).select(question_id, "least")
-        seen = plan.select(question_id, "vector", F.concat("visited", "next").alias("visited"))
-        state = seen.join(floors, question_id, "left").select(
+        state = plan.join(floors, question_id, "left").select(
             question_id, "vector", F.coalesce("least", F.lit(-math.inf)).alias("floor"), "visited"
         )
-        step *= GROWTH
     order = Window.partitionBy(question_id).orderBy(F.desc("score"), chunk_id)
     told = spark.createDataFrame(report, "round int, n_questions bigint, n_scored bigint, n_all bigint")
     return Found(hits.withColumn("hit_rank", F.row_number().over(order)), told)
 
 
-def _planned(state: DataFrame) -> T.StructType:
-    return T.StructType([*state.schema.fields, T.StructField("next", T.ArrayType(T.IntegerType()))])
+def _runs(sizes: list[int], longest: int, cells: int) -> list[tuple[int, int, int, int]]:
+    """Clusters by place, gathered to columns: ``start, end, first column, number of columns`` of each run.
+
+    A column has a bounded number of entries, and no more clusters than a vector has bits. There are no fewer
+    than the root of the number of cells, so that small tables use all tasks too.
+    """
+    least = max(1, min(math.isqrt(max(0, cells - 1)) + 1, -(-sum(sizes) // 64)))
+    room = max(1, min(GRID_CHUNK_ENTRIES, -(-sum(sizes) * longest // least)))
+    ends, start, used = [], 0, 0
+    for place, n in enumerate(sizes):
+        if place > start and (used + n * longest > room or place - start >= 64 * longest):
+            ends.append((start, place, 1))
+            start, used = place, 0
+        used += n * longest
+        if used > room:
+            ends.append((place, place + 1, -(-used // room)))
+            start, used = place + 1, 0
+    if start < len(sizes):
+        ends.append((start, len(sizes), 1))
+    firsts = np.cumsum([0, *(parts for _, _, parts in ends)]).tolist()
+    return [(start, end, first, parts) for (start, end, parts), first in zip(ends, firsts, strict=False)]
+
+
+def _bits(packed, n: int) -> np.ndarray:
+    """A row of n booleans for each packed entry."""
+    rows = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    return np.unpackbits(rows, axis=1, count=n).astype(bool)
+
+
+def _visits(plan: DataFrame, runs: list[tuple[int, int, int, int]], n: int) -> tuple[list[int], list[int]]:
+    """Questions that visit each cluster, and each run of clusters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(n + len(runs), np.int64)
+        step = max(1, BLOCK_BITS // max(1, n))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                bits = _bits(batch.column(0).slice(start, step), n)
+                found[:n] += bits.sum(axis=0)
+                found[n:] += [int(bits[:, begin:end].any(axis=1).sum()) for begin, end, _, _ in runs]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["place", "n"])
 
+    counted = plan.select("next").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    held = {r.place: r.n for r in counted.collect()}  # as many as centres and runs
+    return [held.get(i, 0) for i in range(n)], [held.get(n + i, 0) for i in range(len(runs))]
 
-def _next_clusters(spark: SparkSession, held: pa.Table, step: int):
-    """Adds to each question the clusters that it visits next: the first ones by falling bound that may hold a hit."""
+
+def _next_clusters(spark: SparkSession, held: pa.Table, step: int | None):
+    """Adds to each question a bit for each cluster, set if it visits it next: the first ones by falling bound that may hold a hit.
+
+    They count as visited from then on; a question that has none is done and gets NULL.
+    """
     numbers = held.column("cluster").to_numpy()
     longest = max((len(c) for c in held.column("centre").to_pylist()), default=1) or 1
     centres = np.array([c or [0.0] * longest for c in held.column("centre").to_pylist()]).reshape(-1, longest)
@@ -249,7 +301,7 @@ def _next_clusters(spark: SparkSession, held: pa.Table, step: int):
             dimension = centres.shape[1] if centres.any() else None
             unit = _matrix(batch.column(0), batch.column(1), dimension)
             floors, visited = batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            taken = []
+            taken, known = [], []
             for row in range(len(unit)):
                 cosines = np.clip(centres @ unit[row], -1.0, 1.0) if dimension else np.zeros(len(centres))
                 bound = np.cos(np.maximum(0.0, np.arccos(cosines) - radius - SLACK))
@@ -258,44 +310,97 @@ def _next_clusters(spark: SparkSession, held: pa.Table, step: int):
                 if not unit[row].any():
                     bound[:] = 0.0
                 may = bound + 10.0**-SCORE_DIGITS >= floors[row]
-                may[np.isin(numbers, visited[row])] = False
-                order = np.lexsort((numbers, -bound))
-                taken.append(numbers[order[may[order]]][:step].tolist())
-            chosen = pa.array(taken, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, chosen], [*batch.schema.names, "next"])
+                seen = np.zeros(len(numbers), bool)
+                if visited[row] is not None:
+                    seen = np.unpackbits(np.frombuffer(visited[row], np.uint8), count=len(numbers)).astype(bool)
+                may &= ~seen
+                if step is not None:
+                    order = np.lexsort((numbers, -bound))
+                    first = order[may[order]][:step]
+                    may[:] = False
+                    may[first] = True
+                taken.append(np.packbits(may).tobytes() if may.any() else None)
+                known.append(np.packbits(seen | may).tobytes())
+            columns = [*batch.columns[:3], pa.array(known, pa.binary()), pa.array(taken, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "next"])
 
     return plan
 
 
-def _score(index: VectorIndex, pairs: DataFrame, visits: dict[int, int], sizes: dict[int, int], k: int, schema) -> DataFrame:
-    """The best ``k`` of each question in each cell of the clusters that it visits."""
-    spark, names = pairs.sparkSession, schema.fieldNames()
+def _score(
+    index: VectorIndex,
+    plan: DataFrame,
+    runs: list[tuple[int, int, int, int]],
+    clusters: list[int],
+    visits: list[int],
+    asking: list[int],
+    longest: int,
+    k: int,
+    schema: T.StructType,
+) -> DataFrame:
+    """The best ``k`` of each question in each cell of the columns that it visits."""
+    spark, names = plan.sparkSession, schema.fieldNames()
     empty = to_arrow_schema(schema).empty_table()
-    longest = pairs.agg(F.max(F.size("vector"))).first()[0] or 1
+    n_columns = sum(parts for _, _, _, parts in runs)
+    wanted = -(-2 * spark.sparkContext.defaultParallelism // n_columns)
+    slices = [max(1, -(-n * longest // GRID_QUESTION_ENTRIES), min(wanted, -(-n // 64))) for n in asking]
     grid = [
-        (c, max(1, -(-sizes[c] * longest // GRID_CHUNK_ENTRIES)), max(1, -(-n * longest // GRID_QUESTION_ENTRIES)))
-        for c, n in visits.items()
+        (clusters[place], place - start, first, parts, n_slices)
+        for (start, end, first, parts), n_slices in zip(runs, slices, strict=True)
+        for place in range(start, end)
+        if visits[place]
     ]
-    cells = F.broadcast(spark.createDataFrame(grid, "cluster int, blocks int, slices int"))  # as many as centres
-    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = index.members.filter(F.col("cluster").isin(list(visits)))  # other partitions are not read
+    kinds = "cluster int, _place int, _first int, _parts int, _slices int"
+    cells = F.broadcast(spark.createDataFrame(grid, kinds))  # as many as centres
+    part = F.pmod(F.xxhash64(names[1]), F.col("_parts").cast("long")).cast("int")
+    members = index.members.filter(F.col("cluster").isin([row[0] for row in grid]))  # other partitions are not read
     given = members.join(cells, "cluster").select(
-        "cluster", names[1], "vector", own(names[1], "blocks").alias("block"), every("slices").alias("slice")
+        (F.col("_first") + part).alias("_column"), F.explode(F.expr("sequence(0, _slices - 1)")).alias("_slice"), "_place", names[1], "vector"
     )
-    asked = pairs.join(cells, "cluster").select(
-        "cluster", names[0], "vector", "floor", own(names[0], "slices").alias("slice"), every("blocks").alias("block")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_BITS // len(clusters))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
+                bits = _bits(some.column(3), len(clusters))
+                for (start, end, first, parts), n_slices in zip(runs, slices, strict=True):
+                    rows = np.flatnonzero(bits[:, start:end].any(axis=1))
+                    if not len(rows):
+                        continue
+                    ids, vectors, floors, _, hashes = (column.take(pa.array(rows)) for column in some.columns)
+                    packed = pa.array([bits.tobytes() for bits in np.packbits(bits[rows, start:end], axis=1)], pa.binary())
+                    own = pa.array((hashes.to_numpy() % n_slices).astype(np.int32))
+                    for column in range(first, first + parts):
+                        place = pa.array(np.full(len(rows), column, np.int32))
+                        yield pa.RecordBatch.from_arrays([place, own, ids, vectors, floors, packed], dealt.fieldNames())
+
+    dealt = T.StructType(
+        [
+            T.StructField("_column", T.IntegerType()),
+            T.StructField("_slice", T.IntegerType()),
+            *plan.select(names[0], "vector", "floor", "next").schema.fields,
+        ]
     )
+    asked = plan.select(names[0], "vector", "floor", "next", F.xxhash64(names[0]).alias("_hash")).mapInArrow(deal, dealt)
 
     def best_of_cell(questions_in: pa.Table, chunks_in: pa.Table) -> pa.Table:
         if not (len(questions_in) and len(chunks_in)):
             return empty
         question_ids, chunk_ids = _ids(questions_in[names[0]]), _ids(chunks_in[names[1]])
         targets = _matrix(question_ids, questions_in["vector"])
+        vectors = _matrix(chunk_ids, chunks_in["vector"], targets.shape[1])
+        packed = np.frombuffer(b"".join(questions_in["next"].to_pylist()), np.uint8).reshape(len(targets), -1)
+        places = chunks_in["_place"].to_numpy()
+        order = np.argsort(places, kind="stable")
         scan = _Scan(targets, k, questions_in["floor"].to_numpy())
-        scan.read(chunk_ids, _matrix(chunk_ids, chunks_in["vector"], targets.shape[1]))
+        for of_cluster in np.split(order, np.flatnonzero(np.diff(places[order])) + 1):
+            place = int(places[of_cluster[0]])
+            rows = np.flatnonzero(packed[:, place // 8] & (128 >> place % 8))
+            if len(rows):
+                scan.read(chunk_ids.take(pa.array(of_cluster)), vectors[of_cluster], rows)
         found = list(_result(scan.result(), question_ids, names))
         return pa.Table.from_batches(found) if found else empty
 
-    cell = ("cluster", "block", "slice")
+    cell = ("_column", "_slice")
     return asked.groupBy(*cell).cogroup(given.groupBy(*cell)).applyInArrow(best_of_cell, schema)

@@ -131,19 +131,21 @@ class _Scan:
         self.pending: list[pa.Table] = []
         self.held = 0
 
-    def read(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        step = max(1, BLOCK_SCORES // max(1, len(self.targets)))
+    def read(self, ids: pa.Array, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Score the chunks for all targets, or for those of the given rows."""
+        targets = self.targets if rows is None else self.targets[rows]
+        step = max(1, BLOCK_SCORES // max(1, len(targets)))
         for start in range(0, len(vectors), step):
-            scores = vectors[start : start + step] @ self.targets.T
-            if self.best is None and len(scores) > self.k:
+            scores = vectors[start : start + step] @ targets.T
+            floor = self.floor if rows is None else self.floor[rows]
+            is_open = self.best is None if rows is None else np.isneginf(floor).any()
+            if is_open and len(scores) > self.k:
                 # Everything from the k-th score upwards, ties included.
                 kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-                floor = np.maximum(self.floor, kth)
-            else:
-                floor = self.floor
+                floor = np.maximum(floor, kth)
             row, question = np.nonzero(scores >= floor - 10.0**-SCORE_DIGITS)
             found = {
-                "question": pa.array(question),
+                "question": pa.array(question if rows is None else rows[question]),
                 "id": ids.take(pa.array(row + start)),
                 "score": pa.array(np.round(scores[row, question], SCORE_DIGITS) + 0.0),
             }

@@ -101,3 +101,22 @@ def test_bad_vectors(spark, tmp_path, kind):
         build_index(given, str(tmp_path / "a"))
     index = build_index(given, str(tmp_path / "b"), on_bad_vector="drop")
     assert collected(search_index(index, asked, 3).hits) == {(9, 1, 1.0, 1), (9, 3, -1.0, 2)}
+
+
+def test_questions_are_sent_once_to_a_column_of_clusters(spark, tmp_path, monkeypatch, spread):
+    """Vectors of no shape: every question visits all 64 clusters, and is not sent once for each."""
+    sent = spark.sparkContext.accumulator(0)
+
+    class Counted(vectors._Scan):
+        def __init__(self, targets, *more):
+            sent.add(len(targets))
+            super().__init__(targets, *more)
+
+    monkeypatch.setattr(vector_index, "_Scan", Counted)
+    chunks, questions = spread
+    given, asked = frames(spark, chunks, questions)
+    found = search_index(build_index(given, str(tmp_path / "index"), 64), asked, 600)
+    assert collected(found.hits) == brute_force(chunks, questions, 600)
+    report = found.report.collect()
+    assert sum(r.n_scored for r in report) == len(chunks) * len(questions)
+    assert sent.value < 20 * len(questions)
