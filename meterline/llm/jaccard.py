@@ -7,8 +7,11 @@ order of the given columns then leaves l(s) + 1 less l - d at the least size tha
 ceil(t s / 100), and linked sets still share one of them. The first order is by the size of
 counters, of a fixed number, that columns are hashed to and that are summed over all documents:
 what very many documents share comes last and brings no rows to one task. The second is by the
-exact number of sets that give the column; columns of one set need not be looked at again. Rows
-that still share a column fall into one cluster; nothing else can be linked.
+exact number of sets that give the column; columns of one set need not be looked at again. Only
+rows that still share a column can be linked, and only if their sizes are near enough and so are
+their sketches: each n-gram flips one bit of few, and every bit in which two sketches differ stands
+for an n-gram that one set lacks. Rows that pass fall into one cluster, so a column that strangers
+share by chance, as more and more do in a growing corpus, joins none.
 
 Within a cluster, rows are dealt into blocks of bounded size, and every pair of blocks is
 multiplied over blocks of columns: where a column has few rows, only its products that are not
@@ -53,6 +56,12 @@ BLOCK_COLUMNS, BLOCK_PRODUCTS = 4096, 1 << 20
 PANEL_SHARE = 8
 #: Counters of column frequencies, and how many of them are one row of the counts.
 COUNTERS, COUNTERS_IN_ROW = 1 << 20, 1 << 10
+#: Bits of a sketch for each n-gram that a linked set may lack, and the least and most bits of one.
+SKETCH_SHARE, LEAST_BITS, MOST_BITS = 4, 64, 8192
+#: Sets of a column, less those that are joined already, whose pairs are listed; of more, all fall into one cluster.
+LISTED = 128
+#: Bits that document ids are hashed to, to leave out most texts that no cluster needs before they are dealt out.
+MARKS = 1 << 24
 #: Columns that a task counts, or first columns that it hands over, at a time.
 HELD_GRAMS = 1 << 17
 
@@ -100,6 +109,22 @@ def left_out(size: Column, percent: int) -> Column:
     return F.least(least, 2 * lacks + 1) - lacks - 1
 
 
+def size_classes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of size; two linked sets are of one class or of two that follow one another."""
+    bounds, most = [1], max(sizes, default=0)
+    while bounds[-1] <= most:
+        bounds.append(bounds[-1] * 100 // percent + 1)  # the least size too large for the one before
+    return np.searchsorted(np.array(bounds, np.int64), sizes, "right").astype(np.int32)
+
+
+def sketch(grams: np.ndarray, percent: int) -> bytes:
+    """A power of two of bits, each n-gram flips one; the halves of a sketch make the one half as long."""
+    bits = 1 << max(SKETCH_SHARE * lacking(len(grams), percent) - 1, 0).bit_length()
+    bits = min(max(bits, LEAST_BITS), MOST_BITS)
+    flips = np.bincount((grams & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(bool), bitorder="little").tobytes()
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """The order of counters: the binary logarithm of their share of all, from four times the mean."""
     mean = max(counts.sum() / len(counts), 1)
@@ -111,24 +136,29 @@ def _identity(grams: np.ndarray) -> tuple[int, int]:
     return tuple(mix(np.array([one, two], _U) + _U(len(grams))).view(np.int64).tolist())
 
 
-SETS = "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint"
+SETS = (
+    "doc_id {id}, row_1 bigint, row_2 bigint, n_shingles bigint, set_1 bigint, set_2 bigint, "
+    "size_class int, sketch binary"
+)
 COUNTS = "slice int, counts binary"
 
 
-def _sets(n: int):
-    """Size and identity of each row's set, and after them the counts of their columns.
+def _sets(n: int, percent: int = 80):
+    """Size, identity and sketch of each row's set, and after them the counts of their columns.
 
     Equal sets of a batch are counted once. The rows of counts have no other value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, schema = np.zeros(COUNTERS, np.int64), None
-        names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2", "slice", "counts"]
+        names = ["doc_id", "row_1", "row_2", "n_shingles", "set_1", "set_2"]
+        names += ["size_class", "sketch", "slice", "counts"]
         for batch in batches:
-            size, ids, seen, held, n_held = [], [], set(), [], 0
+            size, ids, sketches, seen, held, n_held = [], [], [], set(), [], 0
             for grams in gram_sets(batch.column(1), n):
                 size.append(len(grams))
                 ids.append(_identity(grams) if len(grams) else (None, None))
+                sketches.append(sketch(grams, percent) if len(grams) else None)
                 if len(grams) and ids[-1] not in seen:
                     seen.add(ids[-1])
                     held.append(counters(grams))
@@ -140,6 +170,7 @@ def _sets(n: int):
                 np.add.at(total, np.concatenate(held), 1)
             columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.int64())]
             columns += [pa.array([pair[i] for pair in ids], pa.int64()) for i in (0, 1)]
+            columns += [pa.array(size_classes(size, percent), pa.int32()), pa.array(sketches, pa.binary())]
             columns += [pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
             schema = pa.schema([pa.field(name, c.type) for name, c in zip(names, columns, strict=True)])
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -325,19 +356,124 @@ def _edges(found: list[tuple[int, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["a_1", "a_2", "b_1", "b_2"])
 
 
-def _clusters(texts: DataFrame, sets: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(node, component) for sets that share one of the columns looked at with another set."""
+def _near_enough(one: Column, other: Column, percent: int) -> Column:
+    return F.least(one, other) * 100 >= F.greatest(one, other) * percent
+
+
+def _bytes(column: pa.Array, rows: np.ndarray, length: int, wanted: int) -> np.ndarray:
+    """Sketches of one length, a row each, folded to the wanted length."""
+    taken = column.take(pa.array(rows))
+    start = taken.offset * length
+    found = np.frombuffer(taken.buffers()[2], np.uint8)[start : start + len(rows) * length].reshape(len(rows), length)
+    while length > wanted:
+        length //= 2
+        found = found[:, :length] ^ found[:, length:]
+    return np.ascontiguousarray(found)
+
+
+def unlike(one: pa.Array, other: pa.Array) -> np.ndarray:
+    """How many n-grams at least are in one set of each pair of sketches only."""
+    long = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in (one, other)]
+    found = np.zeros(len(one), np.int64)
+    for lengths in set(zip(*(x.tolist() for x in long), strict=True)):
+        rows = np.flatnonzero((long[0] == lengths[0]) & (long[1] == lengths[1]))
+        sketches = (_bytes(c, rows, length, min(lengths)) for c, length in zip((one, other), lengths, strict=True))
+        found[rows] = np.bitwise_count(np.bitwise_xor(*sketches).view(np.uint64)).sum(axis=1)
+    return found
+
+
+def _alike(percent: int):
+    """The pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            needed = -(-percent * sizes // (100 + percent))
+            near = unlike(batch.column(4), batch.column(5)) <= sizes - 2 * needed
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches allow the similarity."""
+    for x in ("a", "b"):
+        known = sets.select(F.col("set_1").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        pairs = pairs.join(known.hint("merge"), x)
+    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    return pairs.mapInArrow(_alike(percent), "a bigint, b bigint")
+
+
+def _shared(texts: DataFrame, sets: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """Sets by column looked at and class of size, where there are two at least; the hub is the least of them.
+
+    A set comes in its own class and in the next, where it meets the sets of that one.
+    """
     given = texts.mapInArrow(_first_columns(n, percent, levels(counts)), "node bigint, gram bigint")
     given = given.withColumn("n_sets", F.count("*").over(Window.partitionBy("gram"))).filter("n_sets > 1")
-    skip = sets.select(F.col("set_1").alias("node"), left_out(F.col("n_shingles"), percent).alias("skip"))
+    skip = left_out(F.col("n_shingles"), percent).alias("skip")
+    known = sets.select(F.col("set_1").alias("node"), F.col("n_shingles").alias("size"), "size_class", skip)
     # Copies of a set in other batches have equal ranks.
     falling = Window.partitionBy("node").orderBy(F.desc("n_sets"), F.desc("gram"))
-    ranked = given.join(skip.hint("merge"), "node").withColumn("rank", F.dense_rank().over(falling))
-    looked_at = ranked.filter("rank > skip").select("node", "gram")
-    # The least node so far of those with a column; the rows of a column stream by.
-    so_far = "min(node) over (partition by gram order by node rows unbounded preceding)"
-    pairs = looked_at.select(F.col("node").alias("a"), F.expr(so_far).alias("b"))
-    return components(pairs.filter("a != b"))
+    ranked = given.join(known.hint("merge"), "node").withColumn("rank", F.dense_rank().over(falling))
+    looked_at = ranked.filter("rank > skip").select("gram", "node", "size", "size_class").distinct()
+    placed = looked_at.withColumn("class", F.explode(F.array("size_class", F.col("size_class") + 1)))
+    placed = placed.withColumn("own", F.expr("class = size_class")).drop("size_class")
+    together = Window.partitionBy("gram", "class")
+    for name, value in (
+        ("hub", F.min(F.struct("node", "size"))), ("last", F.max("node")), ("some", F.max("own"))
+    ):
+        placed = placed.withColumn(name, value.over(together))
+    return placed.filter("some and last > hub.node and node > hub.node").drop("last", "some")
+
+
+def _clusters(texts: DataFrame, sets: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """(node, component) for sets that are alike by sketches, directly or by others, and share a column."""
+    shared = stored(_shared(texts, sets, n, percent, counts), "gram-shared")
+    near = _near_enough(F.col("size"), F.col("hub.size"), percent)
+    stars = shared.filter(near).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    joined = stored(components(_compared(stars, sets, percent)), "gram-joined")
+
+    # What is left are pairs that are not of the hub, of sets that are not joined yet.
+    left = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    together = Window.partitionBy("gram", "class")
+    for name, value in (("least", F.min("component")), ("most", F.max("component")), ("rows", F.count("*"))):
+        left = left.withColumn(name, value.over(together))
+    left = stored(left.filter("least < most").drop("least", "most"), "gram-left")
+    one, other = left.filter(F.col("rows") <= LISTED).alias("x"), left.filter(F.col("rows") <= LISTED).alias("y")
+    pairs = one.join(other.hint("merge"), ["gram", "class"]).filter(
+        "x.node < y.node and x.component != y.component and (x.own or y.own)"
+    )
+    pairs = pairs.filter(_near_enough(F.col("x.size"), F.col("y.size"), percent))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    crowded = left.filter(F.col("rows") > LISTED).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.union(_compared(pairs, sets, percent)).union(crowded))
+
+
+def _place(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(MARKS)).alias("place")
+
+
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bit for each place of a wanted document; the driver gets no more bits, whatever the input."""
+    bits = wanted.select(_place("wanted")).groupBy(F.expr("place div 64").alias("word"))
+    found = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.uint64)
+    marks[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return marks
+
+
+def _marked(marks: np.ndarray):
+    """The rows whose place is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            some = (marks[place >> 6] >> (place & 63).astype(_U)) & _U(1)
+            yield batch.filter(pa.array(some.astype(bool)))
+
+    return run
 
 
 GRAMS = "set_1 bigint, set_2 bigint, grams array<bigint>"
@@ -374,20 +510,23 @@ def _grouped(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(ids.alias("doc_id"), texts.alias("text"), *_row_key(ids, texts))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    written = stored(rows.mapInArrow(_sets(n), f"{SETS.format(id=kind)}, {COUNTS}"), "gram-sets")
+    written = stored(rows.mapInArrow(_sets(n, percent), f"{SETS.format(id=kind)}, {COUNTS}"), "gram-sets")
     counts = column_counts(written.filter("slice IS NOT NULL").select("slice", "counts"))
     every = written.filter("slice IS NULL").drop("slice", "counts")
     found = every.filter("n_shingles > 0")
     # One row for each set, however many copies there are.
-    sets = found.groupBy("set_1", "set_2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
-    )
+    same = [F.first(name).alias(name) for name in ("n_shingles", "size_class", "sketch")]
+    sets = found.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("doc_id"), *same)
     sets = stored(sets, "gram-distinct")
     clusters = stored(_clusters(rows.select("text"), sets, n, percent, counts), "gram-clusters")
-    members = stored(sets.join(clusters, sets.set_1 == clusters.node).drop("node"), "gram-members")
+    members = sets.drop("size_class", "sketch").join(clusters, sets.set_1 == clusters.node).drop("node")
+    members = stored(members, "gram-members")
     # Merged at every size, so that the plan on a small table is the plan on a large one.
     wanted = members.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted").hint("merge")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    # The marks leave few texts besides; the join is exact.
+    placed = rows.select(_place("doc_id"), "doc_id", "text")
+    marked = placed.mapInArrow(_marked(_marks(wanted)), placed.schema)
+    texts = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     whole = texts.mapInArrow(_grams(n), GRAMS)
     joined = components(_multiplied(members, whole, percent))
 

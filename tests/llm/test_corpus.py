@@ -184,6 +184,69 @@ def test_linked_pairs_share_a_column_and_products_equal_brute_force(monkeypatch)
         assert all(looked_at[i] & looked_at[j] for i, j in zip(*np.nonzero(want), strict=True))
 
 
+def test_strangers_that_share_columns_fall_into_no_cluster(spark, monkeypatch):
+    words = [f"w{i}" for i in range(4000)]
+    rng, rows = random.Random(11), []
+    for i in range(60):  # each shares three eighths with the next, every third comes again with one word changed
+        own = [rng.choice(words) for _ in range(80)]
+        own[:30] = rows[-1][1].split()[-30:] if rows else own[:30]
+        rows.append((2 * i, " ".join(own)))
+    near = [(i + 1, " ".join([*text.split()[:40], "changed", *text.split()[41:]])) for i, text in rows[::3]]
+    frame = spark.createDataFrame(rows + near, "doc_id long, text string").repartition(3)
+    seen, clusters, marked = [], jaccard._clusters, []
+    marks = jaccard._marks
+
+    def kept(*given):
+        seen.append(clusters(*given))
+        return seen[-1]
+
+    def counted(wanted):
+        marked.append(marks(wanted))
+        return marked[-1]
+
+    monkeypatch.setattr(jaccard, "_clusters", kept)
+    monkeypatch.setattr(jaccard, "_marks", counted)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, 3, 90).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows + near}
+    sizes = [r["count"] for r in seen[0].groupBy("component").count().collect()]
+    assert sizes == [2] * len(near)  # chance columns made larger ones before sketches were compared
+    assert 0 < np.bitwise_count(marked[0]).sum() <= 2 * len(near)  # texts outside clusters stay where they are
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_classes_and_sketches_keep_every_linked_pair(percent):
+    rng = np.random.default_rng(percent)
+    sizes = np.arange(1, 3000)
+    classes = jaccard.size_classes(sizes, percent)
+    most = sizes * 100 // percent  # the largest set linked with each
+    assert (jaccard.size_classes(most, percent) - classes <= 1).all() and (np.diff(classes) >= 0).all()
+    pool, pairs = rng.integers(0, 1 << 63, 40000, np.uint64), []
+    for size in [*range(1, 40), 500, 3000, 15000]:
+        one = rng.choice(pool, size, replace=False)
+        pairs += [(one, np.concatenate((one[k:], rng.choice(pool, m)))) for k in (0, size // 20) for m in (0, size // 9, size)]
+    pairs = [(np.unique(a), np.unique(b)) for a, b in pairs]
+    columns = [pa.array([jaccard.sketch(p[i], percent) for p in pairs], pa.binary()) for i in (0, 1)]
+    found = jaccard.unlike(*columns)
+    assert (found <= [len(np.setxor1d(*p)) for p in pairs]).all()
+    assert (jaccard.unlike(columns[0].slice(7), columns[1].slice(7)) == found[7:]).all()
+
+
+@pytest.mark.parametrize("listed", [0, 2, 128])
+def test_clusters_of_crowded_columns(spark, listed, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    rng, rows = random.Random(listed), []
+    for _ in range(12):
+        text = [f"x{rng.randrange(30)}" for _ in range(rng.randrange(4, 60))]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(text)))
+            text[rng.randrange(len(text))] = f"x{rng.randrange(30)}"
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grams = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in (text.split() for _, text in rows)]
+    edges = [(i, j) for j, b in enumerate(grams) for i, a in enumerate(grams[:j]) if 100 * len(a & b) >= 80 * len(a | b)]
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, 2, 80).collect()}
+    assert [found[i] for i in range(len(rows))] == brute_components(len(rows), edges)
+
+
 def test_column_counts_are_those_of_all_sets(docs):
     key = F.lit(0).cast("long")
     rows = docs.select("doc_id", "text", key.alias("row_1"), key.alias("row_2")).repartition(5)
